@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tabforge.llm import decontaminate
+from tabforge.llm import decontaminate, packing, warc
 
-QUERIES = {"op5_decontaminate": decontaminate.op5_decontaminate}
-SQL = {"op5_decontaminate": decontaminate.SQL}
+QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_warc": warc.op6_warc,
+}
+SQL = {"op5_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL}
