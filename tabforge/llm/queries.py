@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabforge.llm import decontaminate, packing, warc
+from tabforge.llm import decontaminate, jaccard, packing, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 SQL = {"op5_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL}
