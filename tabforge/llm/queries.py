@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabforge.llm import decontaminate, jaccard, packing, warc
+from tabforge.llm import decontaminate, jaccard, packing, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
