@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import table
+from tabforge.llm.common import table, written
 from tabforge.llm.text import Words, buffers, words
 
 #: At most so many labelled rows train the model, those with the least hashes of doc_id; and so many lexicon entries are kept.
 SAMPLE_ROWS, LEXICON = 20_000, 2048
-#: Entries need this signed root of the likelihood-ratio statistic for more toxic documents, and so many of them.
-LEAST_ROOT, LEAST_TOXIC = 4.5, 3
+#: Entries must be in so many toxic training documents, and surprise enough that by chance about so many would.
+LEAST_TOXIC, BY_CHANCE = 3, 30
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 #: Common insults, as whole words.
@@ -145,12 +145,14 @@ def _mined(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, size: int) -> tu
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), family, np.int32)), pa.array(hot.astype(np.int64)), pa.array(cold.astype(np.int64))], ["entry", "family", "hot", "cold"])
 
     counts = docs.select("doc_id", "text").mapInArrow(make, "entry long, family int, hot long, cold long").groupBy("entry", "family").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
+    counts = written(counts.where(F.col("hot") + F.col("cold") >= LEAST_TOXIC), "counts")
+    least = math.sqrt(2 * math.log(max(2.0, counts.count() / BY_CHANCE)))  # of the root of the likelihood-ratio statistic
     n1 = max(1, int(toxic.sum()))
     base = n1 / max(2, len(toxic))
     n = F.col("hot") + F.col("cold")
     part = lambda k, rate: F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
     root = F.sqrt(2 * F.greatest(F.lit(0.0), part(F.col("hot"), base) + part(F.col("cold"), 1 - base)))
-    good = counts.where((F.col("hot") >= LEAST_TOXIC) & (F.col("hot") > n * base)).withColumn("root", root).where(F.col("root") >= LEAST_ROOT)
+    good = counts.where((F.col("hot") >= LEAST_TOXIC) & (F.col("hot") > n * base)).withColumn("root", root).where(F.col("root") >= least)
     top = good.orderBy(F.desc("root"), "entry").limit(size).collect()
     fixed = _hash_words(INSULTS)
     voter = {int(h): 0 for h in fixed}
