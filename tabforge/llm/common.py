@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
+
+_KEY = "__tabforge_key"
+
+
+def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs that may have one of the ids' doc_id, rows that surely have none), told apart by a bitmap of fixed size.
+
+    Only the first part, little more than the rows with such an id, then needs an exact join; the other never moves.
+    """
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("doc_id")))
+
+    def picking(wanted: bool):
+        def pick(batches):
+            bits = opened(packed.value)
+            for b in batches:
+                key = b.column(b.num_columns - 1)
+                may = among(bits, key.fill_null(0).to_numpy(zero_copy_only=False)) & key.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(may == wanted))
+
+        return pick
+
+    keyed = docs.withColumn(_KEY, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+    return keyed.mapInArrow(picking(True), docs.schema), keyed.mapInArrow(picking(False), docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among those of ids; rows without doc_id stay."""
+    may, never = split(docs, ids)
+    return never.union(may.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabforge.llm import decontaminate, jaccard, packing, toxicity, warc
+from tabforge.llm import decontaminate, jaccard, packing, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
