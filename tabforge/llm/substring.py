@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import split, table, written
-from tabforge.llm.text import grams, inside, window_min, words
+from tabforge.llm.text import grams, inside, mix, window_min, words
 
 GRAM, WINDOW, LEAST, SIMILARITY = 8, 8, 50, 0.8
 #: A chain ends where either text has a gap of more words; what a seed is worth and a word of gap costs; words looked at beyond a chain.
@@ -28,7 +28,11 @@ BREAK, APART, DROP = 8, 3, 6
 
 
 def seeds(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(seed, doc_id, place) of documents of at least ``least`` words; a seed's later places in a document are given as -1 - place."""
+    """(seed, doc_id, place) of documents of at least ``least`` words.
+
+    A seed's later places in a document are given twice: as that seed with -1 - place, so that they can match the first place
+    elsewhere, and as a seed of their own made of hash and ordinal, so that texts which repeat themselves match in step.
+    """
 
     def make(batches):
         for b in batches:
@@ -47,9 +51,16 @@ def seeds(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least: int =
                 if len(at):
                     seed, place = g[at].view(np.int64), at - w.at[doc]
                     order = np.lexsort((place, seed, doc))
-                    again = np.zeros(len(at), bool)
-                    again[order[1:]] = (seed[order[1:]] == seed[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(seed), b.column("doc_id").take(pa.array(w.first + doc)), pa.array(np.where(again, -1 - place, place).astype(np.int32))], ["seed", "doc_id", "place"])
+                    new = np.ones(len(at), bool)
+                    new[1:] = (seed[order[1:]] != seed[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+                    ordinal = np.empty(len(at), np.int64)
+                    ordinal[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                    again = np.flatnonzero(ordinal)
+                    own = mix(seed[again].view(np.uint64) + ordinal[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([seed, own])), b.column("doc_id").take(pa.array(w.first + np.concatenate([doc, doc[again]]))), pa.array(np.concatenate([np.where(ordinal > 0, -1 - place, place), place[again]]).astype(np.int32))],
+                        ["seed", "doc_id", "place"],
+                    )
 
     some = docs.where("doc_id is not null").select("doc_id", "text")
     return some.mapInArrow(make, f"seed long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int")
@@ -79,20 +90,26 @@ class PrefixMax:
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Collinear chains of two or more matches (x ascending and distinct), as places in x; each match is in one chain at most."""
+    """Collinear chains of two or more matches (sorted by x, then y), as places in x; each match is in one chain at most."""
     if len(x) < 2:
         return []
-    if (y - x == y[0] - x[0]).all():
-        found = [np.arange(len(x))]
+    shift, count = np.unique(y - x, return_counts=True)
+    main = np.flatnonzero(y - x == shift[np.argmax(count)])
+    if len(main) == len(np.unique(x)):  # one diagonal explains every place
+        found = [main]
     else:
         _, rank = np.unique(y, return_inverse=True)
-        tree, score, back = PrefixMax(int(rank.max()) + 1), [], []
+        tree, score, back, waiting = PrefixMax(int(rank.max()) + 1), [], [], []
         for i, (xi, yi, r) in enumerate(zip(x.tolist(), y.tolist(), rank.tolist(), strict=True)):
+            if i and xi != x[i - 1]:
+                for args in waiting:
+                    tree.put(*args)
+                waiting = []
             value, j = tree.before(r)
             gain = value - GAP_COST * (xi + yi)
             score.append(SEED_WORTH + max(0.0, gain))
             back.append(j if gain > 0 else -1)
-            tree.put(r, (score[-1] + GAP_COST * (xi + yi), i))
+            waiting.append((r, (score[-1] + GAP_COST * (xi + yi), i)))
         used, found = [False] * len(x), []
         for i in sorted(range(len(x)), key=lambda i: -score[i]):
             own = []
@@ -119,7 +136,7 @@ def _chained(matches: DataFrame, kind: str) -> DataFrame:
             if hi - lo > 1:
                 px, py = x[lo:hi], y[lo:hi]
                 new = np.ones(len(px), bool)
-                new[1:] = px[1:] != px[:-1]
+                new[1:] = (px[1:] != px[:-1]) | (py[1:] != py[:-1])
                 px, py = px[new], py[new]
                 rows += [(int(doc[lo]), int(ref[lo]), px[c], py[c]) for c in chains(px, py)]
         if rows:
