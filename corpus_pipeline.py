@@ -1,13 +1,50 @@
-"""Curation of a document corpus in five stages, each written and read again before the next."""
+"""Curation of a document corpus in five stages, each written and read again before the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs.  Rows without
+doc_id stay unless toxic; null and empty texts stay, as they are neither toxic, copies, repeats nor contaminated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabforge.llm import decontaminate as benchmark
+from tabforge.llm import jaccard, packing, substring, toxicity
+from tabforge.llm.common import table, without, written
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, model, "__tabforge_score")
+    return scored.where(F.col("__tabforge_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the document with the smallest doc_id stays."""
+    groups = written(jaccard.jaccard_join(docs).where("doc_id <> class_id").select("doc_id"), "repeats")
+    return without(docs, groups)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a smaller doc_id has too are cut out; documents of which nothing is left go."""
+    return substring.cut(docs, substring.passages(docs))
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with too much of the benchmark go."""
+    found = benchmark.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return without(docs, written(found, "contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(packing.pieces(docs))
 
-from tabforge.llm.common import table, written
-from tabforge.llm.decontaminate import decontaminate
 
-STAGES: list = []
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("contamination", contaminated), ("packing", packed)]
+#: No SQL: the stages train, chain and pack; the tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabforge.llm import decontaminate, jaccard, license, mtree, packing, substring, toxicity, warc
+from tabforge.llm import decontaminate, jaccard, license, mtree, packing, quality, rollup, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_exact_top_k": mtree.op7_exact_top_k,
+    "op8_quality_cotraining": quality.op8_quality_cotraining,
+    "op9_token_rollup": rollup.op9_token_rollup,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 SQL = {
