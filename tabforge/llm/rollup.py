@@ -124,7 +124,7 @@ def op9_token_rollup(spark, sf_dir: str) -> DataFrame:
     counts = written(counted(table(spark, sf_dir, "documents")), "counts")
     versions = lambda bpe: F.explode(F.array(F.struct(F.lit("byte_bpe_50k").alias("tokenizer_version"), F.col("raw").alias("old_tokens"), F.col(bpe).alias("n_tokens")), F.struct(F.lit("words_1").alias("tokenizer_version"), F.col("n_words").alias("old_tokens"), F.col("n_words").alias("n_tokens"))))
     rows = lambda df, op, bpe: df.select("source", "lang", versions(bpe).alias("v")).select("source", "lang", "v.*", F.lit(op).alias("op"))
-    firsts = counts.groupBy("copy").agg(F.min("doc_id").alias("first"))
+    firsts = written(counts.groupBy("copy").agg(F.min("doc_id").alias("first")), "firsts")  # so that the join can split a hot text
     marked = counts.join(firsts, "copy")
     deletes = rows(marked.where("doc_id > first"), "delete", "raw")
     revised = rows(marked.where("not coalesce(doc_id > first, false)"), "revise", "clean")
