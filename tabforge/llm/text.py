@@ -3,7 +3,7 @@
 A word is a maximal run of digits, letters a-z (A-Z are lower-cased first) and characters beyond ASCII:
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  UTF-8 keeps every byte of a character beyond ASCII at 0x80 or above,
 so the split works on bytes.  A word's hash is a polynomial over random byte values modulo 2**64, finalised; texts are
-taken in slices of about one megabyte, so that memory stays bounded however long they are.
+taken in slices of about a quarter of a megabyte, so that memory stays bounded however long they are.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
