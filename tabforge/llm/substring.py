@@ -270,6 +270,7 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     every = seeds(docs, least=least)
     first = F.when(F.col("place") >= 0, F.col("doc_id"))
     anchors = every.groupBy("seed").agg(F.min("doc_id").alias("ref"), F.min_by("place", first).alias("y"), F.max("doc_id").alias("most")).where("ref <> most").drop("most")
+    anchors = written(anchors, "anchors")  # apart from the aggregation, the join can split a hot seed
     matches = every.join(anchors, "seed").where("doc_id <> ref").select("doc_id", "ref", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("x"), "y")
     found = written(_chained(matches, kind), "chains")
     ids = found.select("doc_id").union(found.select("ref")).distinct()
