@@ -169,6 +169,8 @@ def label_model(bits: np.ndarray, label: np.ndarray, count: np.ndarray, voters:
     Rates start from the known labels.  Within-class correlations of votes, weighted by the posterior, temper each voter's
     log-likelihood ratio, so that voters which repeat each other do not count twice.
     """
+    if not len(bits):
+        return np.zeros(0), np.full((2, voters), 0.5), np.zeros((voters, voters))
     votes = (bits[:, None] >> np.arange(voters) & 1).astype(float)
     known = label >= 0
     post = np.where(known, label, 0.0)
