@@ -57,8 +57,10 @@ def canonical(text: Column) -> Column:
     for a, b in _SIGNS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(F.regexp_replace(F.replace(out, F.lit("\r"), F.lit("\n")), _COPYRIGHT, "\n"), _RESERVED, "\n")
+    spelled = out
     for a, b in SPELLINGS.items():
-        out = F.regexp_replace(out, rf"\b{a}\b", b)
+        spelled = F.regexp_replace(spelled, rf"\b{a}\b", b)
+    out = F.when(out.rlike(rf"\b(?:{'|'.join(SPELLINGS)})\b"), spelled).otherwise(out)  # most texts have none of them
     return F.trim(F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
