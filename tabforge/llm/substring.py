@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import split, table, written
+from tabforge.llm.common import among, bitmap, opened, split, table, written
 from tabforge.llm.text import grams, inside, mix, window_min, words
 
 GRAM, WINDOW, LEAST, SIMILARITY = 8, 8, 50, 0.8
@@ -161,17 +161,20 @@ def _chained(matches: DataFrame, kind: str) -> DataFrame:
 
 def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, words) of the documents that may be among ids: 4 bytes of hash a word."""
-    may, _ = split(docs.where("doc_id is not null").select("doc_id", "text"), ids)
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("doc_id")))
 
     def make(batches):
+        bits = opened(packed.value)
         for b in batches:
+            b = b.filter(pa.array(among(bits, b.column("key").to_numpy())))
             at, own = [], []
             for w in words(b.column("text")):
                 at += range(w.first, w.first + len(w.at) - 1)
                 own += [w.of(i).astype("<u4").tobytes() for i in range(len(w.at) - 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(own, pa.binary())], ["doc_id", "words"])
 
-    return may.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary")
+    some = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
+    return some.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary")
 
 
 def _reach(same: np.ndarray) -> int:
@@ -274,7 +277,7 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     matches = every.join(anchors, "seed").where("doc_id <> ref").select("doc_id", "ref", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("x"), "y")
     found = written(_chained(matches, kind), "chains")
     ids = found.select("doc_id").union(found.select("ref")).distinct()
-    text = written(_word_table(docs, ids), "words").dropDuplicates(["doc_id"])
+    text = written(_word_table(docs, ids).dropDuplicates(["doc_id"]), "words")
 
     def piece(column: str, places: str):
         low = F.greatest(F.element_at(places, 1) - BEYOND, F.lit(0))
