@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -20,19 +21,25 @@ _CUT = re.compile("[a-z](?= )")
 
 class ByteTokenizer:
     def __init__(self, json_path: str, ranks_path: str | None = None):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.fast = None
         if ranks_path:
             import public_tokenizers
+            import tiktoken
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        """Made only where a text needs it: it takes several times the memory of the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def _piece(self, text: str) -> list[int]:
         if self.fast is not None:
             try:
