@@ -32,7 +32,7 @@ def pair_families(schema: Sequence[ColumnSchema]) -> list[tuple[str, str, str]]:
 def _correlation(a: Column, b: Column) -> Column:
     """Pearson over complete pairs; null for a constant side or fewer than two pairs."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(a, b))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -6,19 +6,31 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tabforge.functions.keyed import pads
+from tabforge.operators import candidates
 from tabforge.operators.synth import Conditional, Cyclic
 from tabforge.plans.estimates import disk
 from tabforge.plans.pipeline import run
 from tabforge.plans.rules import compile_rules
 from tabforge.privacy import accounting, mst
 from tabforge.privacy.codebook import Codebook, capacity
-from tabforge.queries import KEY, load, query
+from tabforge.queries import KEY, hmac_sql, load, query
 from tabforge.queries.rule_queries import orders
 from tabforge.schema import CANDIDATE_INDEX, ROW_ID, ColumnSchema
 
 SEED = 12_345
 
 
+def content_sql(table: str) -> str:
+    inner, outer = pads(KEY)
+    text = """'c_custkey' || chr(30) || '["int","' || c_custkey || '"]' || chr(31) || 'c_mktsegment' || chr(30) || '["str","' || c_mktsegment || '"]'"""
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+def nested_sql(id_: str) -> str:
+    return f"substr({hmac_sql(id_, candidates.NESTED_DOMAIN)}, 1, 16) < '{format((1 << 64) * 9 // 10, '016x')}'"
+
+
 @query(f"WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders), i AS (SELECT unnest(range(20000)) AS i) SELECT i AS candidate, o_orderkey, o_orderstatus FROM i JOIN r ON place = ({SEED} % n + i) % n")
 def cyclic_generate(spark, d):
     model = Cyclic.fit(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], SEED)
@@ -105,6 +117,37 @@ def mst_synthesize(spark, d):
     return mst.synthesize(customers(spark, d).drop("c_custkey"), BOOK, 3.0, 1e-6, 2_000, SEED)
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(floor(value) AS BIGINT) WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS n, CASE event_type WHEN 'click' THEN true WHEN 'error' THEN false END AS flag,
+CAST(round_even(CAST(value AS DECIMAL(18,6)), 1) * 10 AS BIGINT) AS tenths, (event_id % 4 <> 0 AND value <> floor(value)) OR event_type NOT IN ('click', 'error') AS invalid FROM events""")
+def candidate_types(spark, d):
+    """Values of a generator in declared types, with rows that do not fit marked."""
+    schema = (ColumnSchema("event_id", "integer"), ColumnSchema("n", "integer"), ColumnSchema("flag", "boolean"), ColumnSchema("tenths", "fixed_decimal", decimal_places=1))
+    raw = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.floor("value").cast("double")).otherwise(F.col("value")).alias("n"), F.when(F.col("event_type") == "click", " TRUE").when(F.col("event_type") == "error", "false").otherwise(F.col("event_type")).alias("flag"), F.col("value").cast("decimal(18,6)").alias("tenths"))
+    return candidates.typed_candidates(raw, schema).select("event_id", "n", "flag", (F.col("tenths") * 10).cast("long").alias("tenths"), F.col("__invalid").alias("invalid"))
+
+
+@query("""SELECT CASE WHEN o_orderpriority = '5-LOW' THEN '["missing"]' ELSE '["str","' || o_orderpriority || '"]' END AS token, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT '["int","' || o_custkey || '"]', count(*) FROM orders WHERE o_custkey < 5 GROUP BY 1""")
+def category_tokens(spark, d):
+    o = load(spark, d, "orders").withColumn("p", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")))
+    token = lambda c: candidates.category_token(F.col(c), o.schema[c].dataType).alias("token")
+    return o.select(token("p")).union(o.where("o_custkey < 5").select(token("o_custkey"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT c_custkey FROM (SELECT c_custkey, {content_sql('customer')} AS h FROM customer) ORDER BY h LIMIT 100")
+def content_priority_sample(spark, d):
+    return candidates.content_priority_sample(load(spark, d, "customer").select("c_custkey", "c_mktsegment"), KEY, 100, ["c_custkey", "c_mktsegment"]).select("c_custkey")
+
+
+@query(f"SELECT count(*) FILTER (WHERE {nested_sql('o_orderkey')}) AS n_fit, count(*) AS n FROM orders")
+def nested_fit_split(spark, d):
+    return candidates.nested_split(load(spark, d, "orders"), KEY, "o_orderkey").agg(F.count_if("for_fit").cast("long").alias("n_fit"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT i AS process, 200 * i AS start, 200 * (i + 1) AS stop FROM (SELECT unnest(range(5)) AS i)")
+def generation_plan(spark, d):
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(candidates.generation_plan(50, 5))], "process long, start long, stop long")
+
+
 _RUNS = [("r1", "released", "1.25", "0.000001"), ("r2", "spent", "2.75", "0.000002"), ("r3", "aborted", "9", "0.1")]
 
 
