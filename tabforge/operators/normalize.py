@@ -11,6 +11,9 @@ from tabforge.functions.cells import is_null_text, parsed
 from tabforge.operators.profile import _rows, q
 from tabforge.schema import ROW_ID, ColumnSchema, EngineError, check_columns
 
+#: Rows of the sample that ranges are cut by.
+SAMPLE = 20_000
+
 
 def typed(c: Column, column: ColumnSchema) -> Column:
     return F.when(~is_null_text(c), parsed(c, column))
@@ -48,16 +51,26 @@ def write_normalized(df: DataFrame, path: str, row_group_bytes: int = 192 << 20)
     ordered.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
+def _place(x: Column, cuts: Sequence[Column], low: int = 0) -> Column:
+    """How many of the ascending cuts are less than x, by bisection."""
+    if not cuts:
+        return F.lit(low)
+    m = len(cuts) // 2
+    return F.when(x <= cuts[m], _place(x, cuts[:m], low)).otherwise(_place(x, cuts[m + 1 :], low + m + 1))
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str = ROW_ID, ranges: int = 256) -> DataFrame:
     """Adds 0, 1, ... in the order of the columns, without a window over all rows.
 
-    Rows are put into ranges of the first column (by approximate quantiles of it); each range numbers its own rows from the
-    count of rows before it.
+    Rows are put into ranges of the whole sort key, cut at tuples of a bounded sample (any cuts give the same numbers); each range
+    numbers its own rows from the count of rows before it.
     """
-    first = F.col(order[0])
-    cuts = sorted(set(df.select(first.cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
-    part = F.lit(0) if not cuts else F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (first.cast("double") > c).cast("int")), F.lit(-1))
-    ranged = df.withColumn("__range", part)
+    keys = [q(c) for c in order]
+    sample = df.select(*keys).where(keys[0].isNotNull()).orderBy(F.xxhash64(*keys)).limit(SAMPLE).distinct().orderBy(*keys).collect()
+    chosen = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample
+    tuple_ = F.struct(*keys)
+    literals = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(r, order, strict=True))) for r in dict.fromkeys(chosen)]
+    ranged = df.withColumn("__range", F.when(keys[0].isNull(), -1).otherwise(_place(tuple_, literals)))
     counts = ranged.groupBy("__range").count().orderBy("__range").collect()  # at most `ranges` rows
     at, starts = 0, []
     for r in counts:

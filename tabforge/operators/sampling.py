@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tabforge.functions.keyed import hmac_hex, in_train, priority
 from tabforge.schema import ROW_ID, EngineError
 
+SALTS = 64
+
 
 def partitioned(df: DataFrame, key: bytes, row_id: str = ROW_ID) -> DataFrame:
     """Adds ``in_train``."""
@@ -51,16 +53,21 @@ def hamilton(strata: DataFrame, by: Sequence[str], target: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, key: bytes, target: int, by: Sequence[str], row_id: str = ROW_ID) -> DataFrame:
-    """Training rows by Hamilton quotas of at most two strata columns (nulls are strata), the first by priority in each."""
+    """Training rows by Hamilton quotas of at most two strata columns (nulls are strata), the first by priority in each.
+
+    Rows are ranked in salted parts of each stratum first, and only the parts' first rows together: a hot stratum is never in one task.
+    """
     if not 1 <= len(by) <= 2:
         raise EngineError("RESOURCE_LIMIT", "one or two strata columns")
     own = train(df, key, row_id).withColumn("priority", priority(F.col(row_id), key))
     quotas = hamilton(own.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by, target)
     small = quotas.select(*(F.col(c).alias(f"__s{i}") for i, c in enumerate(by)), F.col("quota").alias("__quota"))
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(by)))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("priority", row_id))
-    joined = own.join(small, on).withColumn("__rank", rank).where(F.col("__rank") <= F.col("__quota"))
-    return joined.drop("__rank", "__quota", *(f"__s{i}" for i in range(len(by))))
+    joined = own.join(small, on).withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)))
+    for parts in ([*by, "__salt"], by):
+        rank = F.row_number().over(Window.partitionBy(*parts).orderBy("priority", row_id))
+        joined = joined.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__quota"))
+    return joined.drop("__rank", "__quota", "__salt", *(f"__s{i}" for i in range(len(by))))
 
 
 def smallest_hmac(df: DataFrame, key: bytes, most: int, identity: str, domain: bytes = b"tabforge/sample/v1\0") -> DataFrame:

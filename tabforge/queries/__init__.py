@@ -47,3 +47,11 @@ def priority_sql(id_: str) -> str:
     from tabforge.functions.keyed import PRIORITY_DOMAIN
 
     return f"substr({hmac_sql(id_, PRIORITY_DOMAIN)}, 1, 16)"
+
+
+def hmac_text_sql(id_: str, domain: bytes) -> str:
+    """The keyed hash of an id's decimal text."""
+    from tabforge.functions.keyed import pads
+
+    inner, outer = pads(KEY, domain)
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode(CAST({id_} AS VARCHAR)))))"

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabforge.functions.keyed import in_train
-from tabforge.operators import attacks, classify, distances, export, gower, pairs
-from tabforge.queries import KEY, load, query, train_sql
+from tabforge.operators import attacks, classify, distances, export, gower, pairs, sampling
+from tabforge.queries import KEY, hmac_text_sql, load, query, train_sql
 from tabforge.queries.rule_queries import orders
 from tabforge.schema import ColumnSchema
 
-# train, holdout: the keyed partition of orders; "synthetic": the training rows with the largest keys first, shifted prices
+# train, holdout: the keyed partition of orders; "synthetic": the training rows with other statuses, priorities and prices
 _R = f"SELECT o_orderkey, o_orderstatus AS status, nullif(o_orderpriority, '4-NOT SPECIFIED') AS prio, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day, {train_sql('o_orderkey')} AS t FROM orders"
 _SIDES = f"""r AS ({_R}), a AS (SELECT * FROM r WHERE t), b AS (SELECT * FROM r WHERE NOT t),
-c AS (SELECT o_orderkey, status, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE prio END AS prio, round(price * 0.9, 2) AS price, day, t FROM r WHERE t AND o_orderkey % 3 > 0)"""
+c AS (SELECT o_orderkey, CASE WHEN price > 300000 THEN 'O' ELSE status END AS status, nullif(prio, '5-LOW') AS prio, round(price * 0.9, 2) AS price, day, t FROM r WHERE t)"""
 SCHEMA = (ColumnSchema("status", "categorical"), ColumnSchema("prio", "categorical", nullable=True), ColumnSchema("price", "float"), ColumnSchema("day", "date"))
 
 
 def sides(spark, d):
     r = orders(spark, d).select("o_orderkey", F.col("o_orderstatus").alias("status"), "prio", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"), in_train(F.col("o_orderkey"), KEY).alias("t"))
     a, b = r.where("t"), r.where("not t")
-    c = a.where("o_orderkey % 3 > 0").withColumn("prio", F.when(F.col("o_orderkey") % 10 != 0, F.col("prio"))).withColumn("price", F.round(F.col("price") * 0.9, 2))
+    c = a.withColumns({"status": F.when(F.col("price") > 300000, "O").otherwise(F.col("status")), "prio": F.nullif(F.col("prio"), F.lit("5-LOW")), "price": F.round(F.col("price") * 0.9, 2)})
     return a, b, c
 
 
@@ -127,15 +127,17 @@ def pair_conditional_tvd(spark, d):
 
 
 CUSTOMER = (ColumnSchema("c_acctbal", "float"), ColumnSchema("c_nationkey", "integer"), ColumnSchema("c_mktsegment", "categorical"))
+_SAMPLE_H = hmac_text_sql("c_custkey", b"tabforge/sample/v1\0")
 _CU = "SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment FROM customer"
-_G = f"""WITH tr AS ({_CU} WHERE c_custkey >= 100), qu AS ({_CU} WHERE c_custkey < 100), l AS (SELECT quantile_cont(c_acctbal, 0.01) AS a0, quantile_cont(c_acctbal, 0.99) AS a1, quantile_cont(c_nationkey, 0.01) AS n0, quantile_cont(c_nationkey, 0.99) AS n1 FROM tr),
+_G = f"""WITH tr AS ({_CU} WHERE {train_sql('c_custkey')}), qu AS ({_CU} WHERE NOT {train_sql('c_custkey')} ORDER BY {_SAMPLE_H}, c_custkey LIMIT 5000), l AS (SELECT quantile_cont(c_acctbal, 0.01) AS a0, quantile_cont(c_acctbal, 0.99) AS a1, quantile_cont(c_nationkey, 0.01) AS n0, quantile_cont(c_nationkey, 0.99) AS n1 FROM tr),
 p AS (SELECT q.c_custkey AS id, (abs(least(greatest(q.c_acctbal, a0), a1) - least(greatest(t.c_acctbal, a0), a1)) / (a1 - a0) + abs(least(greatest(q.c_nationkey, n0), n1) - least(greatest(t.c_nationkey, n0), n1)) / (n1 - n0) + CASE WHEN q.c_mktsegment = t.c_mktsegment THEN 0 ELSE 1 END) / 3 AS dist FROM qu q, tr t, l),
 n AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS r FROM p), two AS (SELECT id, min(dist) AS f, max(dist) AS s FROM n WHERE r <= 2 GROUP BY id)"""
 
 
 def _gower(spark, d):
-    c = load(spark, d, "customer")
-    return gower.nearest_two(c.where("c_custkey >= 100"), c.where("c_custkey < 100"), CUSTOMER, "c_custkey")
+    """Training customers against the holdout ones (a keyed sample of at most 5,000)."""
+    c, own = load(spark, d, "customer"), in_train(F.col("c_custkey"), KEY)
+    return gower.nearest_two(c.where(own), sampling.smallest_hmac(c.where(~own), KEY, gower.MOST_QUERIES, "c_custkey"), CUSTOMER, "c_custkey")
 
 
 @query(f"{_G} SELECT id, round(f, 6) AS first, round(s, 6) AS second FROM two")
@@ -180,11 +182,11 @@ def downstream_regression(spark, d):
 
 
 def _attacked(spark, d):
-    c = load(spark, d, "customer")
-    return c.where("c_custkey % 2 = 0"), c.where("c_custkey % 2 = 1")
+    c, own = load(spark, d, "customer"), in_train(F.col("c_custkey"), KEY)
+    return c.where(own), c.where(~own)
 
 
-@query("WITH s AS (SELECT 'c_acctbal' AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS v, c_custkey % 2 AS h FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey, c_custkey % 2 FROM customer), g AS (SELECT k, v FROM s WHERE h = 0 GROUP BY ALL HAVING count(*) = 1), t AS (SELECT k, v, count(*) AS n FROM s WHERE h = 1 GROUP BY ALL) SELECT count(*) AS n, count(*) FILTER (WHERE t.n = 1) AS hits FROM g LEFT JOIN t USING (k, v)")
+@query("WITH s AS (SELECT 'c_acctbal' AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS v, {h} AS h FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey, {h} FROM customer), g AS (SELECT k, v FROM s WHERE h GROUP BY ALL HAVING count(*) = 1), t AS (SELECT k, v, count(*) AS n FROM s WHERE NOT h GROUP BY ALL) SELECT count(*) AS n, count(*) FILTER (WHERE t.n = 1) AS hits FROM g LEFT JOIN t USING (k, v)".format(h=train_sql("c_custkey")))
 def attack_singling_out(spark, d):
     synthetic, target = (x.select(F.round(F.col("c_acctbal") * 100).cast("long").alias("c_acctbal"), F.col("c_nationkey").cast("long").alias("c_nationkey")) for x in _attacked(spark, d))
     return attacks.singling_out(synthetic, target, ["c_acctbal", "c_nationkey"], attacks=None).select("n", "hits")
@@ -193,13 +195,13 @@ def attack_singling_out(spark, d):
 @query()
 def attack_linkability(spark, d):
     synthetic, target = _attacked(spark, d)
-    return attacks.linkability(synthetic, target, CUSTOMER, ["c_acctbal"], ["c_nationkey", "c_mktsegment"], "c_custkey", 100)
+    return attacks.linkability(synthetic, target, CUSTOMER, ["c_acctbal"], ["c_nationkey", "c_mktsegment"], "c_custkey")
 
 
 @query()
 def attack_inference(spark, d):
     synthetic, target = _attacked(spark, d)
-    return attacks.inference(synthetic, target, CUSTOMER, "c_mktsegment", ["c_acctbal", "c_nationkey"], "c_custkey", 100)
+    return attacks.inference(synthetic, target, CUSTOMER, "c_mktsegment", ["c_acctbal", "c_nationkey"], "c_custkey")
 
 
 EXACT = (ColumnSchema("c_custkey", "integer"), ColumnSchema("c_name", "identifier", role="identifier", identifier_strategy="sequential", format=r"Customer#[0-9]{8}[0-4]"), ColumnSchema("c_mktsegment", "categorical"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.keyed import hmac_hex, pads
 from tabforge.operators import normalize, profile, sampling
-from tabforge.queries import KEY, hmac_sql, load, priority_sql, query, train_sql
+from tabforge.queries import KEY, hmac_sql, hmac_text_sql, load, priority_sql, query, train_sql
 from tabforge.schema import ROW_ID, ColumnSchema
 
+SAMPLE_DOMAIN = b"tabforge/sample/v1\0"
+
 _ORDER_TEXT = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, nullif(o_orderpriority, '4-NOT SPECIFIED') AS prio FROM orders"
 
 
@@ -194,10 +196,7 @@ def keyed_content_predicate(spark, d):
     return sampling.content_selected(load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), KEY, 0.25, ["c_custkey", "c_name", "c_mktsegment"]).select("c_custkey")
 
 
-_SI, _SO = pads(KEY, b"tabforge/sample/v1\0")
-
-
-@query(f"SELECT event_id FROM events ORDER BY sha256(unhex('{_SO}') || unhex(sha256(unhex('{_SI}') || encode(CAST(event_id AS VARCHAR))))), event_id LIMIT 500")
+@query(f"SELECT event_id FROM events ORDER BY {hmac_text_sql('event_id', SAMPLE_DOMAIN)}, event_id LIMIT 500")
 def eval_sample_smallest_hmac(spark, d):
     return sampling.smallest_hmac(load(spark, d, "events"), KEY, 500, "event_id").select("event_id")
 
