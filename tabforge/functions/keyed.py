@@ -11,9 +11,9 @@ import hmac
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Domains of the two row streams and of seeds, and floor(2**64 * 4 / 5) as hex.
-PARTITION_DOMAIN = b"sts/utility/train-holdout/v1\0"
-PRIORITY_DOMAIN = b"sts/utility/training-priority/v1\0"
+#: Domains of the two row streams (give others to read splits made elsewhere), and floor(2**64 * 4 / 5) as hex.
+PARTITION_DOMAIN = b"tabforge/train-holdout/v1\0"
+PRIORITY_DOMAIN = b"tabforge/training-priority/v1\0"
 TRAIN_BELOW = "cccccccccccccccc"
 LEAST_KEY_BYTES = 32
 
@@ -44,14 +44,14 @@ def row_hash(row_id: Column, key: bytes, domain: bytes) -> Column:
     return hmac_hex(big_endian(row_id), key, domain)
 
 
-def in_train(row_id: Column, key: bytes) -> Column:
+def in_train(row_id: Column, key: bytes, domain: bytes = PARTITION_DOMAIN) -> Column:
     """Whether a row is in the four fifths for training."""
-    return F.substring(row_hash(row_id, key, PARTITION_DOMAIN), 1, 16) < TRAIN_BELOW
+    return F.substring(row_hash(row_id, key, domain), 1, 16) < TRAIN_BELOW
 
 
-def priority(row_id: Column, key: bytes) -> Column:
+def priority(row_id: Column, key: bytes, domain: bytes = PRIORITY_DOMAIN) -> Column:
     """A second, independent stream: the first 16 hex digits order rows for sampling."""
-    return F.substring(row_hash(row_id, key, PRIORITY_DOMAIN), 1, 16)
+    return F.substring(row_hash(row_id, key, domain), 1, 16)
 
 
 def derive_u64(key: bytes, label: str) -> int:
@@ -68,7 +68,7 @@ def hkdf(key: bytes, info: bytes, length: int, salt: bytes = b"") -> bytes:
     return out[:length]
 
 
-def uuid4_of(index: Column, prefix: str = "synthetic-table-studio:") -> Column:
+def uuid4_of(index: Column, prefix: str = "tabforge:") -> Column:
     """A version 4 UUID made of the SHA-256 of a prefix and an index."""
     h = F.sha2(F.concat(F.lit(prefix), index.cast("string")).cast("binary"), 256)
     variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)

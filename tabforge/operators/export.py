@@ -17,7 +17,7 @@ from tabforge.schema import ColumnSchema, EngineError, canonical_json
 from tabforge.sources.tables import scan_csv
 
 #: Fixed values.
-NULL_MARKER = "__STS_NULL_{}__"
+NULL_MARKER = "__NULL_{}__"
 DIGEST_RANGES = 256
 
 

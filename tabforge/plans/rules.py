@@ -273,7 +273,7 @@ class CompiledRules:
     def latent(self, rule: Rule) -> str:
         """The name of the column that stands for the rule's columns in the model's view."""
         purpose = {"fixed_combination": "tuple", "compare": "delta"}[rule.kind]
-        return f"__sts_rule_{hashlib.sha256(rule.id.encode()).hexdigest()[:16]}_{purpose}"
+        return f"__rule_{hashlib.sha256(rule.id.encode()).hexdigest()[:16]}_{purpose}"
 
 
 def _typed(rule: Rule, columns: Mapping[str, ColumnSchema], public_only: bool) -> Rule:

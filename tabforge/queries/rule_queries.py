@@ -201,7 +201,7 @@ def identifiers_sequential(spark, d):
     return load(spark, d, "orders").select("o_orderkey", rules.identifier(c, F.col("o_orderkey")).alias("ident"))
 
 
-@query("SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS ident FROM (SELECT o_orderkey, sha256('synthetic-table-studio:' || o_orderkey) AS h FROM orders)")
+@query("SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS ident FROM (SELECT o_orderkey, sha256('tabforge:' || o_orderkey) AS h FROM orders)")
 def identifiers_uuid4(spark, d):
     c = ColumnSchema("ident", "identifier", role="identifier", identifier_strategy="uuid4")
     return load(spark, d, "orders").select("o_orderkey", rules.identifier(c, F.col("o_orderkey")).alias("ident"))

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 KINDS = ("integer", "fixed_decimal", "float", "categorical", "boolean", "date", "datetime", "text", "identifier", "excluded")
 ROLES = ("model", "derived", "identifier", "excluded")
 IDENTIFIER_STRATEGIES = ("sequential", "uuid4")
-ROW_ID = "__sts_row_id"
-CANDIDATE_INDEX = "__sts_candidate_index__"
+ROW_ID = "__row_id"
+CANDIDATE_INDEX = "__candidate_index__"
 MAX_COLUMNS = 70
 TEXT_KINDS = ("categorical", "text", "identifier", "excluded")
 INT64_MIN, INT64_MAX = -(1 << 63), (1 << 63) - 1

@@ -134,7 +134,7 @@ def test_keyed_hashes_equal_hmac(spark):
     rows = spark.range(50).select("id", keyed.row_hash(F.col("id"), key, keyed.PARTITION_DOMAIN).alias("h"), keyed.uuid4_of(F.col("id")).alias("u")).collect()
     for r in rows:
         assert r.h == hmac.new(key, keyed.PARTITION_DOMAIN + r.id.to_bytes(8, "big"), hashlib.sha256).hexdigest()
-        assert r.u == str(uuid.UUID(bytes=hashlib.sha256(f"synthetic-table-studio:{r.id}".encode()).digest()[:16], version=4))
+        assert r.u == str(uuid.UUID(bytes=hashlib.sha256(f"tabforge:{r.id}".encode()).digest()[:16], version=4))
     with pytest.raises(ValueError):
         keyed.row_hash(F.col("id"), b"short", b"")
     # RFC 5869, test case 1
