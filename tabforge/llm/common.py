@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 
 BITMAP_BITS = 1 << 23
 BATCH_BYTES = 4 << 20
+ROWS_A_FILE = 250_000
+TEXT_ROWS = 8_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,8 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: what follows never computes them again."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back: what follows never computes them again.
+
+    ``rows``, a bound of their number, keeps small tables in few files.
+    """
+    df = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     bounded(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -42,6 +51,28 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Gives memory that is free in this Python worker back to the system: Spark keeps idle workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, make: Callable, schema) -> DataFrame:
+    """mapInArrow with a worker that is small again after each task."""
+
+    def run(batches):
+        yield from make(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its rows of text are worth, nor in fewer than there are cores: not many tiny tasks and files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TEXT_ROWS)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -71,24 +102,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node of each connected component of the edges (a, b), by alternating large and small stars.
 
     Each round joins each edge with the least neighbour of its end; its result is written, so lineage stays short.  Hubs are
-    safe: least neighbours are pre-aggregated, and the joins are plain sort-merge joins, which Spark splits where a key is hot.
+    safe: least neighbours are pre-aggregated, and written apart from the joins, which Spark can then split where a key is hot.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    n = now.count()
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", 2 * n)
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large", 2 * n)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least", 2 * n)
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = written(small, "small")
-        # a star forest is a fixed point: each node has one edge, to a node that has none of its own
-        state = small.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = small
-        if state == before:
+        now = written(small, "small", 2 * n)
+        n, ends = now.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        # stars alone are left once each node has one edge, to a node that has none of its own
+        if n == ends and not now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").head(1):
             break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
@@ -115,10 +144,11 @@ def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pick
 
     keyed = docs.withColumn(_KEY, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
-    return keyed.mapInArrow(picking(True), docs.schema), keyed.mapInArrow(picking(False), docs.schema)
+    return map_arrow(keyed, picking(True), docs.schema), map_arrow(keyed, picking(False), docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not among those of ids; rows without doc_id stay."""
     may, never = split(docs, ids)
-    return never.union(may.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns))
+    n = docs.count()
+    return few(never, n).union(few(may.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns), n))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import among, bitmap, components, opened, table, written
+from tabforge.llm.common import among, bitmap, components, few, map_arrow, opened, table, written
 from tabforge.llm.text import grams, inside, mix, shingles, words
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
@@ -157,10 +157,10 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(copies, pa.binary()), pa.array(size), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "copy", "size", "bands"])
 
     some = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return written(some.mapInArrow(make, f"row long, doc_id {kind}, copy binary, size long, bands array<long>"), "bands")
+    return written(map_arrow(few(some, docs.count()), make, f"row long, doc_id {kind}, copy binary, size long, bands array<long>"), "bands")
 
 
-def _records(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+def _records(docs: DataFrame, ids: DataFrame, n: int, n_docs: int) -> DataFrame:
     """(doc_id, sample, grams): values to compare and sorted distinct n-grams of the documents that may be among ids."""
     packed = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("doc_id")))
 
@@ -183,7 +183,7 @@ def _records(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     some = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
-    return some.mapInArrow(make, f"doc_id {kind}, sample binary, grams binary")
+    return map_arrow(few(some, n_docs), make, f"doc_id {kind}, sample binary, grams binary")
 
 
 def _block_keys(sized: DataFrame) -> DataFrame:
@@ -223,18 +223,19 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
     if threshold < 0.8:
         raise ValueError("the bands are made for thresholds of at least 0.8")
     seen = _first_pass(docs, n)
-    took_part = seen.where("doc_id is not null and size > 0")
-    copies = took_part.groupBy("copy").agg(F.min("doc_id").alias("copy_id"))
-    kept = written(took_part.select("doc_id", "copy").join(copies, "copy").select("doc_id", "copy_id").distinct(), "copies")
+    took_part, n_docs = seen.where("doc_id is not null and size > 0"), seen.count()
+    copies = written(took_part.groupBy("copy").agg(F.min("doc_id").alias("copy_id")), "texts", n_docs)  # apart from it, the join can split a hot text
+    kept = written(took_part.select("doc_id", "copy").join(copies, "copy").select("doc_id", "copy_id").distinct(), "copies", n_docs)
     first = took_part.select("doc_id", "bands").join(kept.where("doc_id = copy_id").select("doc_id"), "doc_id", "left_semi")
     banded = first.select("doc_id", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub <> most").select("band", "hub")
     edges = banded.join(hubs, "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    records = written(_records(docs, groups, n), "records")
+    n_nodes = groups.count()
+    records = written(_records(docs, groups, n, n_docs), "records")
     level = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold)).cast("int")
     sized = groups.join(records.select("doc_id", (F.octet_length("grams") / 8).cast("long").alias("size")).distinct(), "doc_id").withColumn("level", level)
-    keyed = _block_keys(written(sized, "sized"))
+    keyed = _block_keys(written(sized, "sized", n_nodes))
     dealt = keyed.join(records.dropDuplicates(["doc_id"]), "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
