@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import table, written
 
-K, BLOCK, QUERIES, FANOUT, LEAF = 20, 32_768, 512, 16, 256
+K, BLOCK, FANOUT, LEAF = 20, 32_768, 16, 256
+#: A task searches for so many queries at most, and for no fewer than the second number for the sake of parallelism alone.
+MOST_QUERIES, LEAST_QUERIES = 16_384, 512
 
 
 def whole(rows: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -75,16 +77,17 @@ def _pages(block: pa.Table) -> pa.Table:
     for dim in np.unique(sizes):
         own = np.flatnonzero(sizes == dim)
         m = flat[begin[own][:, None] + np.arange(dim)]
+        small = next(t for t in (m.astype(np.int16), m.astype(np.int32), m) if (t == m).all())
         b = _Builder(m)
         b.load(np.arange(len(m)), 0, 0.0)
         for number, p in enumerate(b.pages):
             entries, far = p["entries"] if p["entries"] is not None else (np.zeros(0, np.int64), np.zeros(0))
-            out.append({"block": block.column("block")[0].as_py(), "dim": int(dim), "page": number, "top": b.top, "center": m[p["center"]].tobytes(), "radius": p["radius"], "to_parent": p["to_parent"], "children": p["children"], "ids": ids[own][entries].tobytes(), "vectors": m[entries].tobytes(), "far": far.tobytes()})
+            out.append({"block": block.column("block")[0].as_py(), "dim": int(dim), "page": number, "top": b.top, "width": small.itemsize, "center": small[p["center"]].tobytes(), "radius": p["radius"], "to_parent": p["to_parent"], "children": p["children"], "ids": ids[own][entries].tobytes(), "vectors": small[entries].tobytes(), "far": far.tobytes()})
     return pa.Table.from_pylist(out, _PAGE)
 
 
-_PAGE = pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("page", pa.int32()), ("top", pa.float64()), ("center", pa.binary()), ("radius", pa.float64()), ("to_parent", pa.float64()), ("children", pa.list_(pa.int32())), ("ids", pa.binary()), ("vectors", pa.binary()), ("far", pa.binary())])
-_PAGE_SQL = "block int, dim int, page int, top double, center binary, radius double, to_parent double, children array<int>, ids binary, vectors binary, far binary"
+_PAGE = pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("page", pa.int32()), ("top", pa.float64()), ("width", pa.int32()), ("center", pa.binary()), ("radius", pa.float64()), ("to_parent", pa.float64()), ("children", pa.list_(pa.int32())), ("ids", pa.binary()), ("vectors", pa.binary()), ("far", pa.binary())])
+_PAGE_SQL = "block int, dim int, page int, top double, width int, center binary, radius double, to_parent double, children array<int>, ids binary, vectors binary, far binary"
 
 
 def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -99,14 +102,15 @@ class Tree:
 
     def __init__(self, rows: list[dict]):
         rows = sorted(rows, key=lambda r: r["page"])
-        big = max((int(np.abs(np.frombuffer(r["vectors"], np.int64)).max()) if r["vectors"] else 0) for r in rows)
+        whole_numbers = lambda r, c: np.frombuffer(r[c], f"<i{r['width']}").astype(np.int64)
+        big = max(int(np.abs(whole_numbers(r, "vectors")).max(initial=0)) for r in rows)
         self.exact = big * big * rows[0]["dim"] < 1 << 52  # then sums of float products are exact whole numbers
         self.big, self.top, self.computed = big, rows[0]["top"], 0
         self.pages = []
-        center = [np.frombuffer(r["center"], np.int64).astype(float) for r in rows]
+        center = [whole_numbers(r, "center").astype(float) for r in rows]
         for r in rows:
             c = r["children"]
-            v = np.frombuffer(r["vectors"], np.int64).reshape(-1, r["dim"])
+            v = whole_numbers(r, "vectors").reshape(-1, r["dim"])
             self.pages.append((np.array(c), np.stack([center[k] for k in c]) if c else None, np.array([rows[k]["radius"] for k in c]), np.array([rows[k]["to_parent"] for k in c]), np.frombuffer(r["ids"], np.int64), v.astype(float) if self.exact else v, np.frombuffer(r["far"], np.float64)))
         self.root = center[0]
 
@@ -146,7 +150,7 @@ class Tree:
         return ids, scores
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k greatest inner products with the other vectors, ties to smaller vec_id.
 
     Both frames have (vec_id, v) as ``whole`` gives them; inner products are only between vectors of one length, and must fit in 64
@@ -154,7 +158,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     """
     index = build_index(vectors, block)
     blocks = [r["block"] for r in index.select("block").distinct().collect()]  # one number for each block
-    parts = max(1, -(-queries.count() // query_block))
+    n, tasks = queries.count(), 2 * queries.sparkSession.sparkContext.defaultParallelism
+    query_block = query_block or max(min(MOST_QUERIES, -(-n * max(1, len(blocks)) // tasks)), LEAST_QUERIES)
+    parts = max(1, -(-n // query_block))
     asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(*map(F.lit, blocks)) if blocks else F.array().cast("array<int>")).alias("block"), "vec_id", "v")
     pages = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
