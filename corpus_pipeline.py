@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tabforge.llm import decontaminate as benchmark
 from tabforge.llm import jaccard, packing, substring, toxicity
-from tabforge.llm.common import table, without, written
+from tabforge.llm.common import few, table, without, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.scored(docs, model, "__tabforge_score")
+    scored = toxicity.scored(few(docs, docs.count()), model, "__tabforge_score")
     return scored.where(F.col("__tabforge_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import among, bitmap, opened, table, written
+from tabforge.llm.common import among, bitmap, few, map_arrow, opened, table, written
 from tabforge.llm.text import LOWER, UPPER, Words, grams, inside, lists, window_min, words
 
 WINDOW, GRAM = 13, 9
@@ -51,7 +51,7 @@ def fingerprints_of_items(items: DataFrame, window: int, gram: int) -> DataFrame
             )
 
     some = items.select(F.monotonically_increasing_id().alias("ikey"), "item_id", "text")
-    return some.mapInArrow(make, f"ikey long, item_id {items.schema['item_id'].dataType.simpleString()}, n long, words binary, prints array<long>")
+    return map_arrow(some, make, f"ikey long, item_id {items.schema['item_id'].dataType.simpleString()}, n long, words binary, prints array<long>")
 
 
 def _found(h: np.ndarray, item: np.ndarray, window: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
             )
 
     some = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    looked = written(some.mapInArrow(look, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, prints array<long>, words binary"), "looked")
+    looked = written(map_arrow(few(some, docs.count()), look, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, prints array<long>, words binary"), "looked")
     hits = looked.where("prints is not null")
     pairs = hits.select("row", F.explode("prints").alias("print")).join(prints, "print").select("row", "ikey").distinct()
     full = pairs.join(hits.select("row", F.col("words").alias("own")), "row").join(known.select("ikey", "item_id", "words"), "ikey")
@@ -121,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
             keep = np.flatnonzero([len(x) > 0 for x in out])
             yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(keep)), b.column("item_id").take(pa.array(keep)), lists([out[i] for i in keep], pa.int64())], ["row", "item_id", "at"])
 
-    extended = full.select("row", "item_id", "own", "words").mapInArrow(extend, f"row long, item_id {items.schema['item_id'].dataType.simpleString()}, at array<long>")
+    extended = map_arrow(full.select("row", "item_id", "own", "words"), extend, f"row long, item_id {items.schema['item_id'].dataType.simpleString()}, at array<long>")
     by_row = extended.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     out = looked.select("row", "doc_id", "n_words").join(by_row, "row", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_ids", F.array().cast("array<string>"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import table, written
+from tabforge.llm.common import few, map_arrow, table, written
 from tabforge.llm.text import lists
 from tabforge.llm.tokens import byte_tokenizer
 
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizers
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + [lists(own, pa.int32())] * ids, names + ["ids"] * ids)
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return map_arrow(few(docs.select("doc_id", "text"), docs.count()), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -152,7 +152,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             t = rank - p[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p[:, 2] + t // p[:, 3]), pa.array(p[:, 4] + t % p[:, 3] * length)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, sequence_id long, offset long")
+    return map_arrow(few(ranked, sum(counts.values())), place, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import table
+from tabforge.llm.common import map_arrow, table
 from tabforge.llm.text import buffers, grams, inside, words
 from tabforge.llm.toxicity import held_out
 
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pool
                 ids = p.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([label[i] for i in ids], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    got = docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(make, "doc_id long, label long, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = map_arrow(docs.select("doc_id", "text", "source", "lang", "n_chars"), make, "doc_id long, label long, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if got.empty:
         return None
     x, y = np.stack([np.frombuffer(r) for r in got["x"]]), got["label"].to_numpy()
@@ -190,7 +190,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([p.column("doc_id"), *(pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40)))) for s in z)], ["doc_id", "text_score", "metadata_score", "score"])
 
     fields = [docs.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in ("text_score", "metadata_score", "score"))]
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(make, T.StructType(fields))
+    return map_arrow(docs.select("doc_id", "text", "source", "lang", "n_chars"), make, T.StructType(fields))
 
 
 def op8_quality_cotraining(spark, sf_dir: str) -> DataFrame:

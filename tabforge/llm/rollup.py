@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import shared_folder, table, written
+from tabforge.llm.common import map_arrow, shared_folder, table, written
 from tabforge.llm.text import words
 from tabforge.llm.tokens import byte_tokenizer
 
@@ -115,7 +115,7 @@ def counted(docs: DataFrame, tokenizers: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(copy, pa.binary()), pa.array(raw, pa.int64()), pa.array(clean, pa.int64()), pa.array(n_words)], ["doc_id", "source", "lang", "copy", "raw", "clean", "n_words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(make, f"doc_id {kind}, source string, lang string, copy binary, raw long, clean long, n_words long")
+    return map_arrow(docs.select("doc_id", "source", "lang", "text"), make, f"doc_id {kind}, source string, lang string, copy binary, raw long, clean long, n_words long")
 
 
 def op9_token_rollup(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import among, bitmap, opened, split, table, written
+from tabforge.llm.common import among, bitmap, few, map_arrow, opened, split, table, written
 from tabforge.llm.text import grams, inside, mix, window_min, words
 
 GRAM, WINDOW, LEAST, SIMILARITY = 8, 8, 50, 0.8
@@ -63,7 +63,7 @@ def seeds(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least: int =
                     )
 
     some = docs.where("doc_id is not null").select("doc_id", "text")
-    return some.mapInArrow(make, f"seed long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int")
+    return map_arrow(some, make, f"seed long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int")
 
 
 class PrefixMax:
@@ -156,7 +156,7 @@ def _chained(matches: DataFrame, kind: str) -> DataFrame:
             yield from flush(*held)
 
     dealt = matches.select("doc_id", "ref", "x", "y").repartition("doc_id").sortWithinPartitions("doc_id", "ref", "x", "y")
-    return dealt.mapInArrow(make, f"doc_id {kind}, ref {kind}, xs array<int>, ys array<int>")
+    return map_arrow(dealt, make, f"doc_id {kind}, ref {kind}, xs array<int>, ys array<int>")
 
 
 def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(own, pa.binary())], ["doc_id", "words"])
 
     some = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
-    return some.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary")
+    return map_arrow(some, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary")
 
 
 def _reach(same: np.ndarray) -> int:
@@ -297,7 +297,7 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     rows.append((doc, s + ol, e + ol, to, rs + rl, re + rl, m))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], schema=schema)
 
-    parts = with_both.mapInArrow(make, "doc_id long, start long, end long, ref long, ref_start long, ref_end long, matched long")
+    parts = map_arrow(with_both, make, "doc_id long, start long, end long, ref long, ref_start long, ref_end long, matched long")
     gathered = parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ref", "ref_start", "ref_end", "matched")).alias("parts"))
 
     def join(batches):
@@ -306,7 +306,7 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
             rows = [(doc, *p) for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in merge([tuple(x.values()) for x in own], least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names)
 
-    return gathered.mapInArrow(join, "doc_id long, start long, end long, ref_doc_id long, ref_start long, ref_end long")
+    return map_arrow(gathered, join, "doc_id long, start long, end long, ref_doc_id long, ref_start long, ref_end long")
 
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -317,7 +317,8 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     found = written(found.select("doc_id", "start", "end"), "passages")
     may, never = split(docs, found)
     spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__tabforge_spans"))
-    joined = may.join(spans, "doc_id", "left").select(*docs.columns, "__tabforge_spans")
+    # by sort-merge: an exchange keeps the two Python functions in different tasks, each with one worker
+    joined = may.join(spans.hint("merge"), "doc_id", "left").select(*docs.columns, "__tabforge_spans")
     place = docs.columns.index("text")
 
     def make(batches):
@@ -340,10 +341,11 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(keep))
 
-    changed = joined.mapInArrow(make, docs.schema)
+    changed = map_arrow(joined, make, docs.schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return never.union(changed.select(*docs.columns))
+    n = docs.count()
+    return few(never, n).union(few(changed.select(*docs.columns), n))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import table, written
+from tabforge.llm.common import map_arrow, table, written
 from tabforge.llm.text import Words, buffers, words
 
 #: At most so many labelled rows train the model, those with the least hashes of doc_id; and so many lexicon entries are kept.
@@ -144,7 +144,7 @@ def _mined(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, size: int) -> tu
                     cold = np.bincount(inverse, weights=1 - label[doc[new]], minlength=len(h))
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), family, np.int32)), pa.array(hot.astype(np.int64)), pa.array(cold.astype(np.int64))], ["entry", "family", "hot", "cold"])
 
-    counts = docs.select("doc_id", "text").mapInArrow(make, "entry long, family int, hot long, cold long").groupBy("entry", "family").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
+    counts = map_arrow(docs.select("doc_id", "text"), make, "entry long, family int, hot long, cold long").groupBy("entry", "family").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
     counts = written(counts.where(F.col("hot") + F.col("cold") >= LEAST_TOXIC), "counts")
     least = math.sqrt(2 * math.log(max(2.0, counts.count() / BY_CHANCE)))  # of the root of the likelihood-ratio statistic
     n1 = max(1, int(toxic.sum()))
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
             )
 
     # few rows: one for each vote pattern (at most 2 ** 16), and one for each document of the bounded sample
-    got = docs.select("doc_id", "text").mapInArrow(make, "bits long, label long, n long, entries array<long>").groupBy("bits", "label", "entries").agg(F.sum("n").alias("n")).toPandas()
+    got = map_arrow(docs.select("doc_id", "text"), make, "bits long, label long, n long, entries array<long>").groupBy("bits", "label", "entries").agg(F.sum("n").alias("n")).toPandas()
     bits, label, count = (got[c].to_numpy(np.int64) for c in ("bits", "label", "n"))
     free, rates, correlations = label_model(bits, label, count, len(VOTERS))
     own = np.flatnonzero(label >= 0)
@@ -273,7 +273,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             z = m.weights[-1] + np.bincount(doc, weights=m.weights[entry], minlength=b.num_rows) + (bits[:, None] >> np.arange(len(VOTERS)) & 1) @ m.weights[size:-1]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*b.schema.names, name])
 
-    return docs.mapInArrow(make, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_arrow(docs, make, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

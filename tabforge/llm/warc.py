@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import shared_folder, table, written
+from tabforge.llm.common import map_arrow, shared_folder, table, written
 
 CHUNK = 1 << 16
 ROLL_BYTES = 1 << 30
@@ -196,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
         if done:
             yield pa.RecordBatch.from_pylist([{"path": a, "records": b, "bytes": c} for a, b, c in done], pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return written(linked.mapInArrow(make, "path string, records long, bytes long"), "archives")
+    return written(map_arrow(linked, make, "path string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
@@ -225,7 +225,7 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     paths = archives.select("path")
-    return paths.repartition(max(1, paths.count())).mapInArrow(make, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
+    return map_arrow(paths.repartition(max(1, paths.count())), make, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
