@@ -98,13 +98,13 @@ def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[keys.astype(np.uint64, copy=False) & np.uint64(len(bits) - 1)]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, component): the least node of each connected component of the edges (a, b), by alternating large and small stars.
 
     Each round joins each edge with the least neighbour of its end; its result is written, so lineage stays short.  Hubs are
-    safe: least neighbours are pre-aggregated, and written apart from the joins, which Spark can then split where a key is hot.
+    safe (``rows``: about how many edges there are, for the number of files): least neighbours are pre-aggregated, and written apart from the joins, which Spark can then split where a key is hot.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows)
     n = now.count()
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -230,7 +230,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
     banded = first.select("doc_id", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub <> most").select("band", "hub")
     edges = banded.join(hubs, "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    groups = components(edges, 4 * n_docs).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     n_nodes = groups.count()
     records = written(_records(docs, groups, n, n_docs), "records")
     level = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold)).cast("int")
@@ -262,8 +262,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
                 roots.append(both[forest.root(int(p))][0])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.int64())})
 
-    found = written(dealt.groupBy("key").applyInArrow(compare, "doc_id long, links long, root long"), "links")
-    linked = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    found = written(few(dealt.groupBy("key").applyInArrow(compare, "doc_id long, links long, root long"), n_docs), "links")
+    linked = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), n_docs)
     links = found.groupBy("doc_id").agg(F.sum("links").alias("n_links")).join(linked.withColumnRenamed("node", "doc_id"), "doc_id")
     out = seen.select("doc_id").join(kept, "doc_id", "left").withColumn("copy_id", F.coalesce("copy_id", "doc_id"))
     out = out.join(links.select(F.col("doc_id").alias("copy_id"), "n_links", "component"), "copy_id", "left")

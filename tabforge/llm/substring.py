@@ -270,14 +270,14 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     none.  Rows that share a doc_id must share their text.  Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = seeds(docs, least=least)
+    every, n = seeds(docs, least=least), docs.count()
     first = F.when(F.col("place") >= 0, F.col("doc_id"))
     anchors = every.groupBy("seed").agg(F.min("doc_id").alias("ref"), F.min_by("place", first).alias("y"), F.max("doc_id").alias("most")).where("ref <> most").drop("most")
-    anchors = written(anchors, "anchors")  # apart from the aggregation, the join can split a hot seed
+    anchors = written(few(anchors, n), "anchors")  # apart from the aggregation, the join can split a hot seed
     matches = every.join(anchors, "seed").where("doc_id <> ref").select("doc_id", "ref", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("x"), "y")
-    found = written(_chained(matches, kind), "chains")
+    found = written(few(_chained(matches, kind), n), "chains")
     ids = found.select("doc_id").union(found.select("ref")).distinct()
-    text = written(_word_table(docs, ids).dropDuplicates(["doc_id"]), "words")
+    text = written(few(_word_table(docs, ids).dropDuplicates(["doc_id"]), n), "words")
 
     def piece(column: str, places: str):
         low = F.greatest(F.element_at(places, 1) - BEYOND, F.lit(0))
@@ -314,7 +314,8 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     A passage goes from its first word up to the word after it.  Other columns and documents without passages stay as they are.
     """
-    found = written(found.select("doc_id", "start", "end"), "passages")
+    n = docs.count()
+    found = written(few(found.select("doc_id", "start", "end"), n), "passages")
     may, never = split(docs, found)
     spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__tabforge_spans"))
     # by sort-merge: an exchange keeps the two Python functions in different tasks, each with one worker
@@ -344,7 +345,6 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     changed = map_arrow(joined, make, docs.schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    n = docs.count()
     return few(never, n).union(few(changed.select(*docs.columns), n))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import map_arrow, table, written
+from tabforge.llm.common import few, map_arrow, table, written
 from tabforge.llm.text import Words, buffers, words
 
 #: At most so many labelled rows train the model, those with the least hashes of doc_id; and so many lexicon entries are kept.
@@ -145,7 +145,7 @@ def _mined(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, size: int) -> tu
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), family, np.int32)), pa.array(hot.astype(np.int64)), pa.array(cold.astype(np.int64))], ["entry", "family", "hot", "cold"])
 
     counts = map_arrow(docs.select("doc_id", "text"), make, "entry long, family int, hot long, cold long").groupBy("entry", "family").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
-    counts = written(counts.where(F.col("hot") + F.col("cold") >= LEAST_TOXIC), "counts")
+    counts = written(few(counts.where(F.col("hot") + F.col("cold") >= LEAST_TOXIC), len(ids)), "counts")
     least = math.sqrt(2 * math.log(max(2.0, counts.count() / BY_CHANCE)))  # of the root of the likelihood-ratio statistic
     n1 = max(1, int(toxic.sum()))
     base = n1 / max(2, len(toxic))
