@@ -1,13 +1,18 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view has its own linear classifier.  In each round a view labels the unlabelled pool documents that it is surest of, and these
+Each view has its own linear classifier.  In each round a view labels the unlabelled documents that it is surest of, and these
 join the other view's training rows.  Both views are then calibrated, and a weighing of their calibrated odds, fitted on rows
 kept apart for it, scores all documents.
+
+Labelled rows are a bounded sample; unlabelled ones are all documents without any row in labels.  Their features are written
+once, and only sums over them (moments, counts of odds, gradients and Hessians) reach the driver.
 """
 
 from __future__ import annotations
 
+import ast
 import zlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -16,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import map_arrow, table
+from tabforge.llm.common import map_arrow, table, written
 from tabforge.llm.text import buffers, grams, inside, words
 from tabforge.llm.toxicity import held_out
 
-#: At most so many labelled rows train the views, and so many unlabelled ones are their pool: those with the least hashes of doc_id.
-SAMPLE_ROWS, POOL_ROWS = 20_000, 20_000
+#: At most so many labelled rows train the views: those with the least hashes of doc_id.
+SAMPLE_ROWS = 20_000
+#: Documents are equally sure whose log odds fall into one of so many bins from 0 to LIMIT; hashes of doc_id, as many bins, order these.
+BINS, LIMIT, BLOCK = 4096, 30.0, 2048
 ROUNDS, SHARE = 5, 0.05
 SOURCES, LANGS = 64, 16
 THRESHOLD = 0.5
@@ -42,6 +49,17 @@ class Model(NamedTuple):
     mixture: np.ndarray
 
 
+class Round(NamedTuple):
+    """The views of a round, and by view and label the least (bin of odds, bin of hash) that is not sure enough."""
+
+    views: list[View]
+    cuts: dict[tuple[int, int], tuple[int, int]]
+
+
+#: Sums an array-valued function of (text features, metadata features, hash bins) over blocks of unlabelled documents; 0 if there are none.
+Fold = Callable[[Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
 def text_view(column: pa.Array) -> np.ndarray:
     """Features of whole texts; texts without words have zeros but for the last."""
     data, at = buffers(column)
@@ -76,30 +94,59 @@ def text_view(column: pa.Array) -> np.ndarray:
     return np.column_stack([np.log1p(count), letters / safe, distinct / safe, 1 - repeated / np.maximum(trigrams, 1), *(kinds[:, k] / np.maximum(size, 1) for k in range(5)), np.log1p(size), count == 0])
 
 
-def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Features of a document's record: source and language by hashed indicator, length by order of magnitude; nulls have their own."""
-    out = np.zeros((len(source), SOURCES + LANGS + 3))
-    rows = np.arange(len(source))
-    out[rows, [zlib.crc32(str(s).encode()) % SOURCES for s in source]] = 1
-    out[rows, SOURCES + np.array([zlib.crc32(str(x).encode()) % LANGS for x in lang], np.int64)] = 1
+def meta_codes(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """What meta_view needs of a document's record: slots of source and language, whether the length is null, and its logarithm."""
     size = np.array([np.nan if x is None else float(x) for x in n_chars])
-    out[:, -3] = np.isnan(size)
-    out[:, -2] = np.log1p(np.maximum(np.nan_to_num(size), 0))
+    slots = [[zlib.crc32(str(v).encode()) % k for v in values] for values, k in ((source, SOURCES), (lang, LANGS))]
+    return np.column_stack([*slots, np.isnan(size), np.log1p(np.maximum(np.nan_to_num(size), 0))]).astype(float)
+
+
+def expanded(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), SOURCES + LANGS + 3))
+    rows = np.arange(len(codes))
+    out[rows, codes[:, 0].astype(np.int64)] = 1
+    out[rows, SOURCES + codes[:, 1].astype(np.int64)] = 1
+    out[:, -3:-1] = codes[:, 2:]
     out[:, -1] = out[:, -2] ** 2 / 10
     return out
 
 
-def _newton(x: np.ndarray, y: np.ndarray, decay: float = 1.0, rounds: int = 25) -> np.ndarray:
+def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """Features of a document's record: source and language by hashed indicator, length by order of magnitude; nulls have their own."""
+    return expanded(meta_codes(source, lang, n_chars))
+
+
+def _hash_bins(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(BINS)).astype(np.int64)
+
+
+def _biased(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([x, np.ones(len(x))])
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and, below it, Hessian of the logistic loss at w, of rows that have their bias."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.vstack([(p - y) @ x, (x * (p * (1 - p) + 1e-6)[:, None]).T @ x])
+
+
+def _step(w: np.ndarray, sums: np.ndarray, decay: float = 1.0) -> tuple[np.ndarray, bool]:
+    """A damped Newton step, and whether it was too small for another; the bias is the last weight."""
+    ridge = decay * np.eye(len(w))
+    ridge[-1, -1] = 1e-3
+    step = np.linalg.solve(sums[1:] + ridge, sums[0] + ridge @ w)
+    return w - step * min(1.0, 5.0 / max(1e-9, np.abs(step).max())), bool(np.abs(step).max() < 1e-6)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Logistic regression with a bias as last weight, by damped Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = _biased(x)
     w = np.zeros(x.shape[1])
-    ridge = decay * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-        w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        w, done = _step(w, _sums(x, y, w))
+        if done:
             break
     return w
 
@@ -109,27 +156,100 @@ def _logit(view: View, x: np.ndarray) -> np.ndarray:
     return np.clip(view.slope * z + view.offset, -30, 30)
 
 
+def _sureness(z: np.ndarray) -> np.ndarray:
+    return np.minimum(np.abs(z) * (BINS / LIMIT), BINS - 1).astype(np.int64)
+
+
+def _given(history: list[Round], features: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> list[np.ndarray]:
+    """By view, the labels that the rounds so far have given each document for it; -1 for none."""
+    out = [np.full(len(key), -1), np.full(len(key), -1)]
+    for r in history:
+        for me, other in ((0, 1), (1, 0)):
+            z = _logit(r.views[me], features[me])
+            sure = _sureness(z)
+            for label in (1, 0):
+                at, tie = r.cuts[me, label]
+                out[other][(out[other] < 0) & ((z > 0) == bool(label)) & ((sure > at) | ((sure == at) & (key < tie)))] = label
+    return out
+
+
+def _cuts(fold: Fold, history: list[Round], views: list[View], wanted: dict[int, int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """By view and label, where the ``wanted[label]`` surest documents end: counts by bins of odds, then by hashes in the bin of the cut."""
+    sides = [(me, label) for me in (0, 1) for label in (1, 0)]
+
+    def count(at: dict | None):
+        def make(text, meta, key):
+            out = []
+            z = [_logit(v, x) for v, x in zip(views, (text, meta), strict=True)]
+            for me, label in sides:
+                mine = (z[me] > 0) == bool(label)
+                sure = _sureness(z[me])
+                out.append(np.bincount(sure[mine] if at is None else key[mine & (sure == at[me, label])], minlength=BINS))
+            return np.array(out, float)
+
+        return fold(make)
+
+    at, left = {}, {}
+    for side, c in zip(sides, count(None), strict=True):
+        above = np.concatenate([np.cumsum(c[::-1])[::-1], [0]])  # documents in this bin or surer ones
+        at[side] = int(np.searchsorted(-above, -wanted[side[1]], "left")) - 1  # the surest bin that would be too many, -1 if none is
+        left[side] = wanted[side[1]] - above[at[side] + 1]
+    return {side: (at[side], int(np.searchsorted(np.cumsum(c), left[side], "right"))) for side, c in zip(sides, count(at), strict=True)}
+
+
+def _taught(fold: Fold, history: list[Round], own: list[tuple[np.ndarray, np.ndarray]], scales: list, start: list[np.ndarray], rounds: int = 25) -> list[np.ndarray]:
+    """Weights of both views on their labelled rows and the documents given to them, by Newton steps on sums of all documents."""
+    weights, done = list(start), [False, False]
+    for _ in range(rounds):
+        now, open_ = list(weights), [v for v in (0, 1) if not done[v]]
+
+        def make(text, meta, key, now=now, open_=open_):
+            given, parts = _given(history, (text, meta), key), []
+            for v in open_:
+                has = given[v] >= 0
+                parts.append(_sums(_biased(((text, meta)[v][has] - scales[v][0]) / scales[v][1]), given[v][has].astype(float), now[v]).ravel())
+            return np.concatenate(parts)
+
+        total, used = fold(make), 0
+        for v in open_:
+            k = len(now[v])
+            sums = total[used : used + (k + 1) * k].reshape(k + 1, k) + _sums(_biased((own[v][0] - scales[v][0]) / scales[v][1]), own[v][1], now[v])
+            used += (k + 1) * k
+            weights[v], done[v] = _step(now[v], sums)
+        if all(done):
+            break
+    return weights
+
+
+def in_memory(text: np.ndarray, meta: np.ndarray) -> Fold:
+    return lambda make: make(text, meta, _hash_bins(np.arange(len(text)))) if len(text) else np.zeros(1)
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_pool: np.ndarray, meta_pool: np.ndarray, apart: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
     """The model from labelled rows and an unlabelled pool; ``apart`` marks the labelled rows kept for calibration."""
-    views, pools = [], [text_pool, meta_pool]
-    scales = []
-    for x, pool in ((text, text_pool), (meta, meta_pool)):
-        every = np.vstack([x, pool])
-        scales.append((every.mean(0), np.maximum(every.std(0), 1e-3)))
-    own = [(text[~apart], y[~apart]), (meta[~apart], y[~apart])]
-    free = [np.ones(len(text_pool), bool), np.ones(len(text_pool), bool)]
-    for turn in range(rounds + 1):
-        views = [View(c, s, _newton((x - c) / s, t), 1.0, 0.0) for (c, s), (x, t) in zip(scales, own, strict=True)]
-        if turn == rounds or not len(text_pool):
-            break
-        for me, other in ((0, 1), (1, 0)):
-            z = _logit(views[me], pools[me])
-            rate = min(0.95, max(0.05, float(y.mean())))
-            for label, order in ((1, np.argsort(-z, kind="stable")), (0, np.argsort(z, kind="stable"))):
-                n = int(share * len(z) * (rate if label else 1 - rate))
-                sure = [i for i in order[:n] if free[other][i] and (z[i] > 0) == bool(label)]
-                free[other][sure] = False
-                own[other] = (np.vstack([own[other][0], pools[other][sure]]), np.append(own[other][1], np.full(len(sure), label)))
+    return co_train_over(text, meta, y, in_memory(text_pool, meta_pool), apart, rounds, share)
+
+
+def co_train_over(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: Fold, apart: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
+    """co_train with an unlabelled pool of any size, of which only sums are seen."""
+    start = [x.mean(0) for x in (text, meta)]
+    moments = fold(lambda a, b, key: np.concatenate([[len(key)], *(f(x - m) for x, m in zip((a, b), start, strict=True) for f in (lambda d: d.sum(0), lambda d: (d**2).sum(0)))]))
+    n, at, scales = int(moments[0]), 1, []
+    for x, m in zip((text, meta), start, strict=True):
+        k, d = x.shape[1], x - m
+        first, second = ((moments[at : at + k], moments[at + k : at + 2 * k]) if n else (0.0, 0.0))
+        mean = (d.sum(0) + first) / (len(x) + n)
+        scales.append((m + mean, np.maximum(np.sqrt(np.maximum(((d**2).sum(0) + second) / (len(x) + n) - mean**2, 0)), 1e-3)))
+        at += 2 * k
+    own = [(x[~apart], y[~apart]) for x in (text, meta)]
+    weights = [_newton((x - c) / s, t) for (c, s), (x, t) in zip(scales, own, strict=True)]
+    rate = min(0.95, max(0.05, float(y.mean())))
+    history: list[Round] = []
+    for _ in range(rounds if n else 0):
+        views = [View(c, s, w, 1.0, 0.0) for (c, s), w in zip(scales, weights, strict=True)]
+        history = [*history, Round(views, _cuts(fold, history, views, {1: int(share * n * rate), 0: int(share * n * (1 - rate))}))]
+        weights = _taught(fold, history, own, scales, weights)
+    views = [View(c, s, w, 1.0, 0.0) for (c, s), w in zip(scales, weights, strict=True)]
     kept = apart if 0 < y[apart].sum() < apart.sum() else np.ones(len(y), bool)
     calibrated = []
     for v, x in zip(views, (text, meta), strict=True):
@@ -139,39 +259,69 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_pool: np.nd
     return Model(*calibrated, _newton(both, y[kept]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS) -> Model | None:
-    """Learns from labels (doc_id, quality) of rows that are not held out; None if they have fewer than two classes."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = {r["doc_id"]: int(r["quality"]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()}
-    if len(set(chosen.values())) < 2:
-        return None
-    others = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti")
-    pool = {r["doc_id"]: -1 for r in others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(pool | chosen)
+def features(docs: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """(doc_id, label, x) of each doc_id, written once: its label in ``chosen`` or -1, and the bytes of its text features and metadata codes.
+
+    Of several rows with one doc_id the one with the least bytes counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def make(batches):
         label = shared.value
         for b in batches:
-            which = [i for i, d in enumerate(b.column("doc_id").to_pylist()) if d in label]
-            part = b.take(pa.array(which, pa.int64()))
-            for lo in range(0, part.num_rows, 2048):
-                p = part.slice(lo, 2048)
-                x = np.column_stack([text_view(p.column("text")), meta_view(*(p.column(c).to_pylist() for c in ("source", "lang", "n_chars")))])
+            for lo in range(0, b.num_rows, BLOCK):
+                p = b.slice(lo, BLOCK)
+                x = np.column_stack([text_view(p.column("text")), meta_codes(*(p.column(c).to_pylist() for c in ("source", "lang", "n_chars")))])
                 ids = p.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([label[i] for i in ids], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([label.get(i, -1) for i in ids], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+
+    every = map_arrow(docs.select("doc_id", "text", "source", "lang", "n_chars").where("doc_id is not null"), make, "doc_id long, label long, x binary")
+    return written(every.groupBy("doc_id", "label").agg(F.min("x").alias("x")), "features")
+
+
+def _opened(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text and metadata features of the bytes of ``features``."""
+    rows = np.frombuffer(b"".join(x.to_pylist())).reshape(len(x), len(TEXT_FEATURES) + 4)
+    return rows[:, : len(TEXT_FEATURES)], expanded(rows[:, len(TEXT_FEATURES) :])
+
+
+def over(pool: DataFrame) -> Fold:
+    """Sums over the rows of ``features``: each task sends one array."""
 
-    got = map_arrow(docs.select("doc_id", "text", "source", "lang", "n_chars"), make, "doc_id long, label long, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    if got.empty:
+    def fold(make):
+        def each(batches):
+            total = None
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    p = b.slice(lo, BLOCK)
+                    part = make(*_opened(p.column("x")), _hash_bins(p.column("doc_id").to_numpy(zero_copy_only=False)))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([repr(total.shape)]), pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], ["shape", "sums"])
+
+        got = [np.frombuffer(r["sums"]).reshape(ast.literal_eval(r["shape"])) for r in map_arrow(pool.select("doc_id", "x"), each, "shape string, sums binary").collect()]
+        return sum(got) if got else np.zeros(1)
+
+    return fold
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Learns from labels (doc_id, quality) of rows that are not held out; None if they have fewer than two classes."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = {r["doc_id"]: int(r["quality"]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()}
+    if len(set(chosen.values())) < 2:
         return None
-    x, y = np.stack([np.frombuffer(r) for r in got["x"]]), got["label"].to_numpy()
-    t = len(TEXT_FEATURES)
-    own = y >= 0
-    if len(set(y[own])) < 2:
+    every = features(docs, chosen)
+    got = every.where("label >= 0").toPandas().sort_values("doc_id")
+    y = got["label"].to_numpy()
+    if len(set(y)) < 2:
         return None
-    apart = np.array([zlib.crc32(str(i).encode()) % 4 == 1 for i in got["doc_id"][own]])
-    if not 1 < (~apart).sum() or len(set(y[own][~apart])) < 2:
-        apart = np.zeros(own.sum(), bool)
-    return co_train(x[own][:, :t], x[own][:, t:], y[own].astype(float), x[~own][:, :t], x[~own][:, t:], apart)
+    text, meta = _opened(pa.array(got["x"], pa.binary()))
+    apart = np.array([zlib.crc32(str(i).encode()) % 4 == 1 for i in got["doc_id"]])
+    if not 1 < (~apart).sum() or len(set(y[~apart])) < 2:
+        apart = np.zeros(len(y), bool)
+    pool = written(every.where("label < 0").join(labels.select("doc_id"), "doc_id", "left_anti"), "pool")
+    return co_train_over(text, meta, y.astype(float), over(pool), apart)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -228,3 +229,15 @@ def test_license_scan(spark, docs, corpus, empty):
     assert known.count() == len(license.KNOWN)
     assert license.license_scan(empty, known).count() == 0
     assert license.license_scan(docs, known).where("license_id is not null").count() == 0
+
+
+def test_quality_learns_from_all_unlabelled_documents(spark):
+    """More unlabelled documents than any bound that the pool once had move the feature means of both views."""
+    text = F.expr("concat_ws(' ', transform(sequence(0, cast(pmod(xxhash64(id), 9) as int)), i -> concat('w', pmod(xxhash64(id, i), 50))))")
+    docs = written(spark.range(0, 24_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.expr("concat('s', id % 3)").alias("source"), F.length(text).cast("long").alias("n_chars")), "many")
+    labels = docs.where("doc_id % 100 = 0").selectExpr("doc_id", "cast(n_chars > 15 as int) as quality")
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels.where(toxicity.held_out(F.col("doc_id"))), "doc_id", "left_anti").toPandas()
+    assert len(rows) > 23_000
+    assert np.allclose(model.text.center, quality.text_view(pa.array(rows["text"])).mean(0))
+    assert np.allclose(model.meta.center, quality.meta_view(*(rows[c].tolist() for c in ("source", "lang", "n_chars"))).mean(0))
