@@ -4,8 +4,10 @@ Each view has its own linear classifier.  In each round a view labels the unlabe
 join the other view's training rows.  Both views are then calibrated, and a weighing of their calibrated odds, fitted on rows
 kept apart for it, scores all documents.
 
-Labelled rows are a bounded sample; unlabelled ones are all documents without any row in labels.  Their features are written
-once, and only sums over them (moments, counts of odds, gradients and Hessians) reach the driver.
+Labelled rows are a bounded sample; unlabelled ones are all other documents: those that labels lack, that are held out, whose
+quality is null, or that are beyond the sample (of these the text and metadata alone are read).  Their features are written once,
+and only sums over them (moments, counts of odds, gradients and Hessians) reach the driver.  If no document is left
+unlabelled, no labels are exchanged: each view is fitted on its labelled rows, then calibrated and combined as always.
 """
 
 from __future__ import annotations
@@ -320,8 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     apart = np.array([zlib.crc32(str(i).encode()) % 4 == 1 for i in got["doc_id"]])
     if not 1 < (~apart).sum() or len(set(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)
-    pool = written(every.where("label < 0").join(labels.select("doc_id"), "doc_id", "left_anti"), "pool")
-    return co_train_over(text, meta, y.astype(float), over(pool), apart)
+    return co_train_over(text, meta, y.astype(float), over(every.where("label < 0")), apart)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

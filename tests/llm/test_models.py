@@ -237,7 +237,24 @@ def test_quality_learns_from_all_unlabelled_documents(spark):
     docs = written(spark.range(0, 24_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.expr("concat('s', id % 3)").alias("source"), F.length(text).cast("long").alias("n_chars")), "many")
     labels = docs.where("doc_id % 100 = 0").selectExpr("doc_id", "cast(n_chars > 15 as int) as quality")
     model = quality.fit(docs, labels)
-    rows = docs.join(labels.where(toxicity.held_out(F.col("doc_id"))), "doc_id", "left_anti").toPandas()
-    assert len(rows) > 23_000
+    rows = docs.toPandas()
+    assert len(rows) == 24_000
     assert np.allclose(model.text.center, quality.text_view(pa.array(rows["text"])).mean(0))
     assert np.allclose(model.meta.center, quality.meta_view(*(rows[c].tolist() for c in ("source", "lang", "n_chars"))).mean(0))
+
+
+def test_quality_takes_all_but_its_sample_as_unlabelled(spark, labelled):
+    """Held-out rows, null qualities and labelled rows beyond the sample are unlabelled text, even where labels cover all documents."""
+    docs, labels = labelled
+    every = docs.selectExpr("doc_id", "case when doc_id % 7 > 0 then cast(doc_id % 3 > 0 as int) end as quality")
+    rows = docs.toPandas()
+    model = quality.fit(docs, every, sample_rows=100)
+    assert np.allclose(model.text.center, quality.text_view(pa.array(rows["text"])).mean(0))
+    assert np.allclose(model.meta.center, quality.meta_view(*(rows[c].tolist() for c in ("source", "lang", "n_chars"))).mean(0))
+    # no label of an unlabelled document is read
+    hidden = every.select("doc_id", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
+    again = quality.fit(docs, hidden, sample_rows=100)
+    assert np.array_equal(again.mixture, model.mixture)
+    # none is left: two views that exchange nothing
+    alone = quality.co_train(np.eye(4), np.eye(4), np.array([0.0, 1, 0, 1]), np.zeros((0, 4)), np.zeros((0, 4)), np.zeros(4, bool))
+    assert np.isfinite(alone.mixture).all()
