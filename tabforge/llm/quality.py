@@ -176,15 +176,16 @@ def _given(history: list[Round], features: tuple[np.ndarray, np.ndarray], key: n
 
 
 def _cuts(fold: Fold, history: list[Round], views: list[View], wanted: dict[int, int]) -> dict[tuple[int, int], tuple[int, int]]:
-    """By view and label, where the ``wanted[label]`` surest documents end: counts by bins of odds, then by hashes in the bin of the cut."""
+    """By view and label, where the ``wanted[label]`` surest documents end among those that the other view has not been given yet:
+    counts by bins of odds, then by hashes in the bin of the cut."""
     sides = [(me, label) for me in (0, 1) for label in (1, 0)]
 
     def count(at: dict | None):
         def make(text, meta, key):
             out = []
-            z = [_logit(v, x) for v, x in zip(views, (text, meta), strict=True)]
+            z, taken = [_logit(v, x) for v, x in zip(views, (text, meta), strict=True)], _given(history, (text, meta), key)
             for me, label in sides:
-                mine = (z[me] > 0) == bool(label)
+                mine = ((z[me] > 0) == bool(label)) & (taken[1 - me] < 0)
                 sure = _sureness(z[me])
                 out.append(np.bincount(sure[mine] if at is None else key[mine & (sure == at[me, label])], minlength=BINS))
             return np.array(out, float)

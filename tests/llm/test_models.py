@@ -258,3 +258,16 @@ def test_quality_takes_all_but_its_sample_as_unlabelled(spark, labelled):
     # none is left: two views that exchange nothing
     alone = quality.co_train(np.eye(4), np.eye(4), np.array([0.0, 1, 0, 1]), np.zeros((0, 4)), np.zeros((0, 4)), np.zeros(4, bool))
     assert np.isfinite(alone.mixture).all()
+
+
+def test_each_round_gives_its_whole_share():
+    """A view that ranks as before gives as many documents again: those given already do not take up places."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(0, 1, (1000, 1))
+    fold = quality.in_memory(x, x)
+    views = [quality.View(np.zeros(1), np.ones(1), np.array([4.0, 0.0]), 1.0, 0.0)] * 2
+    history, given = [], []
+    for _ in range(3):
+        history = [*history, quality.Round(views, quality._cuts(fold, history, views, {1: 30, 0: 20}))]
+        given.append([[(g == label).sum() for label in (1, 0)] for g in quality._given(history, (x, x), quality._hash_bins(np.arange(1000)))])
+    assert given == [[[30, 20]] * 2, [[60, 40]] * 2, [[90, 60]] * 2]
