@@ -1,11 +1,14 @@
 """Licence scan by canonical digests, in DataFrame expressions only.
 
 A text is put into a canonical form (case, copyright lines, spellings, punctuation, white space) and its SHA-256 looked up among
-those of known licences.  Only texts that are a licence as a whole match.
+those of known licences.  Only texts that are a licence as a whole match, with or without its usual titles and its appendix.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,26 @@ Permission is granted to anyone to use this software for any purpose, including
     "Apache-2.0-Notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-Notice": "This work is licensed under the GNU General Public License, version 3.",
 }
+#: Usual titles of the licences above that have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "Expat License", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License", "FreeBSD License", "BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License", "BSD-3-Clause"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "Zlib"),
+}
+#: Whole texts with titles of their own, in the folder ``licences``: file and name.
+WHOLE = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: Where the part that explains how to apply a licence begins; many copies end before it, some also before the closing line.
+_APPENDIX = r"\n[^\n\w]*(?:APPENDIX: How to apply|(?:Appendix: )?How to Apply These Terms|ADDENDUM: How to use this License)"
+_CLOSING = r"\n[^\n\w]*END OF TERMS AND CONDITIONS[^\n\w]*\s*$"
+#: Former addresses of the Free Software Foundation, inside its older texts.
+_ADDRESS = r"51 Franklin St(?:reet)?, Fifth Floor, Boston, MA\s+02110-1301,?\s+USA"
+_FORMER = ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA")
 #: Equivalent spellings, as whole words after lower-casing.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled",
@@ -64,12 +87,27 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
-def digests(spark, known: dict[str, str]) -> DataFrame:
+def digests(spark, known: dict[str, str] | list[tuple[str, str]]) -> DataFrame:
     """(digest, license_id) of known licence texts; of equal canonical texts the smallest name."""
-    rows = spark.createDataFrame(list(known.items()), "license_id string, text string")
+    rows = spark.createDataFrame(list(known.items() if isinstance(known, dict) else known), "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def texts() -> list[tuple[str, str]]:
+    """(license_id, text) of all that the query knows: KNOWN as it is, with its titles and without the numbers of its clauses, and
+    WHOLE with and without its appendix."""
+    out = list(KNOWN.items())
+    for name, titles in TITLES.items():
+        bodies = (KNOWN[name], re.sub(r"(?m)^\d\. ", "* ", KNOWN[name]))
+        out += [(name, f"{title}\n\n{body}") for title in titles for body in bodies] + [(name, bodies[1])]
+    for file, name in WHOLE.items():
+        text = (Path(__file__).parent / "licences" / f"{file}.txt").read_text("utf-8")
+        short = re.split(_APPENDIX, text)[0]
+        for body in dict.fromkeys((text, short, re.sub(_CLOSING, "", short))):
+            out += [(name, t) for t in dict.fromkeys((body, *(re.sub(_ADDRESS, a, body) for a in _FORMER)))]
+    return out
+
+
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, digest, license_id) for each row of docs; license_id is null where the text is no known licence.
 
@@ -80,7 +118,7 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), digests(spark, KNOWN))
+    return license_scan(table(spark, sf_dir, "documents"), digests(spark, texts()))
 
 
 def _quoted(text: str) -> str:

@@ -1,5 +1,6 @@
 """Classifiers, rollups, search and licence scan."""
 
+import os
 import random
 import uuid
 
@@ -271,3 +272,18 @@ def test_each_round_gives_its_whole_share():
         history = [*history, quality.Round(views, quality._cuts(fold, history, views, {1: 30, 0: 20}))]
         given.append([[(g == label).sum() for label in (1, 0)] for g in quality._given(history, (x, x), quality._hash_bins(np.arange(1000)))])
     assert given == [[[30, 20]] * 2, [[60, 40]] * 2, [[90, 60]] * 2]
+
+
+def test_license_scan_knows_titles_and_whole_texts(spark):
+    mit, folder = license.KNOWN["MIT"], os.path.join(os.path.dirname(license.__file__), "licences")
+    read = lambda name: open(os.path.join(folder, f"{name}.txt"), encoding="utf-8").read()
+    apache, gpl = read("Apache-2.0"), read("GPL-2")
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + mit), ("MIT", "The MIT License (MIT)\r\n\r\nCopyright 2020 X\r\n\r\n" + mit), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\n" + license.KNOWN["BSD-3-Clause"]),
+        ("BSD-2-Clause", "Copyright (c) 2020, X\n" + license.KNOWN["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")), ("Apache-2.0", apache), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 X")),
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("GPL-3.0", read("GPL-3")), ("GPL-2.0", gpl), ("GPL-2.0", gpl[: gpl.index("How to Apply These Terms to Your")].rstrip()), ("LGPL-2.1", read("LGPL-2.1")), ("LGPL-3.0", read("LGPL-3")), ("MPL-2.0", read("MPL-2.0")),
+        (None, "MIT License"), (None, apache[:5000]), (None, apache + mit),
+    ]
+    got = license.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), license.digests(spark, license.texts())).collect()
+    assert {r.doc_id: r.license_id for r in got} == {i: k for i, (k, _) in enumerate(texts)}
+    assert {*license.TITLES, *license.WHOLE.values()} <= {k for k, _ in license.texts()}
