@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from tabforge.functions.cells import numeric
 from tabforge.schema import ColumnSchema
 
 HASHED, ORDINALS, MOST_ROWS, TEST_SHARE, SEEDS = 4096, 255, 50_000, 0.3, (0, 1, 2, 3, 4)
+TREES = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 50}
+RESAMPLES = 500
 NUMBERS = ("integer", "fixed_decimal", "float", "date", "datetime")
 
 
@@ -60,33 +64,53 @@ def _tree_view(df: DataFrame, train: DataFrame, schema: Sequence[ColumnSchema])
     return df.select(*(e.alias(n) for n, e in own.items()), *([F.col("__label")] if "__label" in df.columns else []))
 
 
+def _auc(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Areas under the curve of counts of both labels by rising score, along the last axis."""
+    return ((np.cumsum(n, -1) - n / 2) * p).sum(-1) / (p.sum(-1) * n.sum(-1))
+
+
+def _interval(runs: list[tuple[np.ndarray, np.ndarray]], resamples: int = RESAMPLES) -> tuple[float, float]:
+    """The 95 % bootstrap interval of the mean area: each label's rows are drawn again within each run, on its histogram of scores."""
+    draw = np.random.default_rng(0)
+    means = [np.mean([_auc(*(draw.multinomial(int(h.sum()), h / h.sum()) for h in run)) for run in runs]) for _ in range(resamples)]
+    return float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
+
+
 def c2st(real_train: DataFrame, first: DataFrame, second: DataFrame, schema: Sequence[ColumnSchema], kind: str = "linear", seeds: Sequence[int] = SEEDS, most: int = MOST_ROWS) -> DataFrame:
-    """(kind, auc, n): mean area under the curve of telling two tables apart; 0.5 means that they cannot be.
+    """(kind, auc, n, low, high): mean area under the curve of telling two tables apart, with its bootstrap interval; 0.5 means that
+    they cannot be.
 
     Preparation is fitted on real training rows only.  Both sides are cut to equal size, at most ``most`` rows; fewer than four a side give
-    null.  Thirty in a hundred rows, by hash, test each seed's fit.
+    null.  Thirty in a hundred rows, by hash, test each seed's fit; seeds are fitted side by side.
     """
     spark = real_train.sparkSession
     used = [c for c in schema if c.role == "model" and c.kind in (*NUMBERS, "categorical", "boolean")]
     n = min(first.count(), second.count(), most)
     if n < 4:
-        return spark.createDataFrame([(kind, None, n)], "kind string, auc double, n long")
+        return spark.createDataFrame([(kind, None, n, None, None)], "kind string, auc double, n long, low double, high double")
     side = lambda df, label: df.select(*(F.col(c.name) for c in used)).orderBy(F.xxhash64(*(F.col(c.name) for c in used))).limit(n).withColumn("__label", F.lit(float(label)))
     both = side(first, 1).unionByName(side(second, 0))
     view = (_linear_view if kind == "linear" else _tree_view)(both, real_train, used).persist()
     names = [c.name for c in used]
-    found = []
-    for seed in seeds:
+
+    def run(seed: int) -> tuple[np.ndarray, np.ndarray]:
         u = F.pmod(F.xxhash64(*map(F.col, names), F.col("__label"), F.lit(seed)), F.lit(1000)) / 1000
         fit, test = view.where(u >= TEST_SHARE), view.where(u < TEST_SHARE)
         if kind == "linear":
             steps = [FeatureHasher(inputCols=names, outputCol="__x", numFeatures=HASHED), LogisticRegression(featuresCol="__x", labelCol="__label", maxIter=100, regParam=1.0 / max(1, n), standardization=False)]
         else:
-            steps = [VectorAssembler(inputCols=names, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol="__label", maxIter=20, stepSize=0.1, maxDepth=4, minInstancesPerNode=20, seed=seed)]
-        model = Pipeline(stages=steps).fit(fit)
-        found.append(BinaryClassificationEvaluator(labelCol="__label").evaluate(model.transform(test)))
+            steps = [VectorAssembler(inputCols=names, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol="__label", seed=seed, **TREES)]
+        scores = Pipeline(stages=steps).fit(fit).transform(test).select(vector_to_array("rawPrediction")[1].alias("s"), "__label")
+        hist = scores.groupBy("s").agg(F.sum("__label").cast("long").alias("p"), F.sum(1 - F.col("__label")).cast("long").alias("n")).toPandas().sort_values("s")
+        return hist["p"].to_numpy(), hist["n"].to_numpy()
+
+    view.count()
+    with ThreadPoolExecutor(max(1, len(seeds))) as pool:
+        runs = list(pool.map(run, seeds))
     view.unpersist()
-    return spark.createDataFrame([(kind, sum(found) / len(found), n)], "kind string, auc double, n long")
+    runs = [r for r in runs if r[0].sum() and r[1].sum()]  # few rows may leave one label alone among the test rows
+    auc, (low, high) = (float(np.mean([_auc(*r) for r in runs])), _interval(runs)) if runs else (None, (None, None))
+    return spark.createDataFrame([(kind, auc, n, low, high)], "kind string, auc double, n long, low double, high double")
 
 
 def downstream(train: DataFrame, synthetic: DataFrame, holdout: DataFrame, schema: Sequence[ColumnSchema], target: str, task: str) -> DataFrame:
@@ -119,7 +143,7 @@ def downstream(train: DataFrame, synthetic: DataFrame, holdout: DataFrame, schem
         fit, test = view(known.withColumn("__label", y), known, used), view(tests.where("__label >= 0") if task == "classification" else tests, known, used)
         names = [c.name for c in used]
         if task == "regression":
-            steps = [VectorAssembler(inputCols=names, outputCol="__x"), GBTRegressor(featuresCol="__x", labelCol="__label", maxIter=20, stepSize=0.1, maxDepth=4, seed=0)]
+            steps = [VectorAssembler(inputCols=names, outputCol="__x"), GBTRegressor(featuresCol="__x", labelCol="__label", seed=0, **TREES)]
             value = F.sqrt(F.avg((F.col("prediction") - F.col("__label")) ** 2))
         else:
             steps = [FeatureHasher(inputCols=names, outputCol="__x", numFeatures=HASHED), LogisticRegression(featuresCol="__x", labelCol="__label", maxIter=100, regParam=1e-4, standardization=False)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.keyed import in_train
@@ -157,16 +160,22 @@ def auc_rank_sum(spark, d):
     return classify.auc_rank_sum(both, "n_chars", "quality").select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
 
 
+def _c2st(spark, d, kind):
+    """Synthetic against holdout rows, and training against holdout rows as control; as many rows a side in both."""
+    a, b, c = sides(spark, d)
+    most = min(a.count(), b.count(), c.count(), classify.MOST_ROWS)
+    both = (classify.c2st(a, x, y, SCHEMA, kind, most=most).withColumn("comparison", F.lit(name)) for name, x, y in (("synthetic", b, c), ("control", a, b)))
+    return reduce(DataFrame.unionByName, both).select("kind", "auc", "n", "low", "high", "comparison")
+
+
 @query()
 def c2st_linear_auc(spark, d):
-    a, b, c = sides(spark, d)
-    return classify.c2st(a, b, c, SCHEMA, "linear", seeds=(0,))
+    return _c2st(spark, d, "linear")
 
 
 @query()
 def c2st_gbt_auc(spark, d):
-    a, b, c = sides(spark, d)
-    return classify.c2st(a, b, c, SCHEMA, "gbt", seeds=(0,))
+    return _c2st(spark, d, "gbt")
 
 
 @query()

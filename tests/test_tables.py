@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,3 +351,17 @@ def test_fixture(spark):
     assert len(df.columns) == 70 and df.columns == [c.name for c in scale_schema()]
     r = df.where("record_id = 34").first()
     assert (r.category_00, r.integer_00, r.employee_total, r.status, r.text_03) == ("cat_00", 578, 34 + 102 % 97, "active", "txt03_00000034")
+
+
+def test_two_sample_test_has_seeds_control_and_interval(spark):
+    from tabforge.queries import evaluation
+
+    rows = {r.comparison: r for r in evaluation.c2st_linear_auc(spark, "/root/testdata/sf0.001").collect()}
+    assert rows["synthetic"].n == rows["control"].n > 100
+    assert all(r.low < r.auc < r.high for r in rows.values())
+    assert rows["control"].low < 0.5 < rows["control"].high and rows["synthetic"].low > rows["control"].high
+    assert classify.TREES["maxIter"] == 200 and classify.SEEDS == (0, 1, 2, 3, 4)
+    counts = np.array([3, 1, 0, 2]), np.array([1, 1, 4, 0])
+    score, label = [x for v in (0, 1) for x in np.repeat(range(4), counts[1 - v])], [v for v in (0, 1) for _ in range(int(counts[1 - v].sum()))]
+    pairs_ = [(a > b) + (a == b) / 2 for a, x in zip(score, label, strict=True) for b, y in zip(score, label, strict=True) if x == 1 and y == 0]
+    assert abs(classify._auc(*counts) - np.mean(pairs_)) < 1e-12
