@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame
 from tabforge.schema import EngineError, canonical_json
 
 #: Fields that never leave with a private release, whatever their depth.
-FORBIDDEN = frozenset(
-    "source_count source_counts source_row_count source_rows raw_source_count private_domain private_domains exact_private_domain holdout holdout_metrics real_holdout real_holdout_metrics "
-    "attack attacks attack_metrics anonymeter dcr nndr example examples raw_example raw_examples fit_timing timing fit_duration rss peak_rss worker_rss fit_seed private_seed rng_seed seed "
-    "raw_dataset_digest dataset_digest source_digest dataset_manifest_digest".split()
-)
+FORBIDDEN = {
+    "source_count", "source_counts", "source_row_count", "source_rows", "raw_source_count", "private_domain", "private_domains", "exact_private_domain", "holdout",
+    "holdout_metrics", "real_holdout", "real_holdout_metrics", "attack", "attacks", "attack_metrics", "anonymeter", "dcr", "nndr", "example", "examples", "raw_example",
+    "raw_examples", "fit_timing", "timing", "fit_duration", "rss", "peak_rss", "worker_rss", "fit_seed", "private_seed", "rng_seed", "seed", "raw_dataset_digest",
+    "dataset_digest", "source_digest", "dataset_manifest_digest",
+}
 #: Fields of the privacy ledger and of the output that a release shows.
-LEDGER = frozenset(
-    "adjacency privacy_unit epsilon epsilon_model epsilon_preprocess delta mechanism accountant conversion package package_version wheel_sha256 package_wheel_sha256 public_metadata_hashes run_id model_id "
-    "privacy_scope_id public_target_count public_target_count_provenance release_count composition_version epsilon_total delta_total spent_runs lock_sha256 rng_policy rule_postprocessing limitations".split()
-)
-OUTPUT = frozenset(
-    "requested_rows actual_rows schema schema_order column_order columns dtypes null_counts category_counts hard_rule_violations artifact_hashes artifacts rule_violations canonical_content_sha256 "
-    "parquet_content_sha256 csv_content_sha256".split()
-)
+LEDGER = {
+    "adjacency", "privacy_unit", "epsilon", "epsilon_model", "epsilon_preprocess", "delta", "mechanism", "accountant", "conversion", "package", "package_version",
+    "wheel_sha256", "package_wheel_sha256", "public_metadata_hashes", "run_id", "model_id", "privacy_scope_id", "public_target_count", "public_target_count_provenance",
+    "release_count", "composition_version", "epsilon_total", "delta_total", "spent_runs", "lock_sha256", "rng_policy", "rule_postprocessing", "limitations",
+}
+OUTPUT = {
+    "requested_rows", "actual_rows", "schema", "schema_order", "column_order", "columns", "dtypes", "null_counts", "category_counts", "hard_rule_violations",
+    "artifact_hashes", "artifacts", "rule_violations", "canonical_content_sha256", "parquet_content_sha256", "csv_content_sha256",
+}
 SCOPES = ("downloadable", "dp_release", "internal")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from tabforge.plans.report import release
 from tabforge.plans.rules import compile_rules
 from tabforge.queries import load, query
 from tabforge.schema import ColumnSchema
-from tabforge.sources.tables import scale_fixture, scale_rules, scale_schema
+from tabforge.sources.tables import scale_fixture, scale_rules, scale_schema, shared_folder
 
 NATION = (ColumnSchema("n_nationkey", "integer"), ColumnSchema("n_name", "categorical"), ColumnSchema("n_regionkey", "integer"))
 
@@ -50,7 +49,7 @@ def csv_parquet_equivalence(spark, d):
     from tabforge.queries.rule_queries import orders
 
     df = orders(spark, d)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tabforge-')}/csv-{export.uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/csv-{export.uuid.uuid4().hex}"
     return export.equivalent(df, folder, export.write_csv(df, folder, ORDERS), ORDERS)
 
 
@@ -98,7 +97,7 @@ def streaming_audit(spark, d):
 
     schema = (ColumnSchema("event_id", "integer"), ColumnSchema("event_type", "categorical"), ColumnSchema("value", "float"))
     compiled = compile_rules([{"id": "type", "kind": "allowed_values", "column": "event_type", "values": ["click", "view"]}, {"id": "value", "kind": "range", "column": "value", "min": 0, "max": 50}], schema)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tabforge-')}/stream-{export.uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{export.uuid.uuid4().hex}"
     events = load(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     audited_stream(stream, compiled, f"{folder}/out", f"{folder}/state").awaitTermination()

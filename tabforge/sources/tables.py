@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,6 +19,24 @@ SCALE_COLUMNS = (
 )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, as configuration or as set on the context.
+
+    Where neither is set, a session on one machine gets a temporary folder of its own; on a cluster that is an error, since executors would
+    write to their own disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = made.get() if made.isDefined() else None
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("INVALID_STATE", "set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tabforge-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def scan_parquet(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Shards of one table, with equal schemas in equal order; only the named columns are read."""
     schemas = [spark.read.parquet(p).schema for p in paths]

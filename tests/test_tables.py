@@ -86,6 +86,13 @@ def test_records_and_dialects():
     assert parse(b"h,i\n\xff,1\n") == [(None, "invalid_encoding")]
     assert csv.propose(b"a;b\n1;2\n") == (csv.Dialect("utf-8", ";"), False)
     assert csv.propose(b"a,b;c\n1,2;3\n")[1] and csv.propose(b"one\ntwo\n")[1]
+    assert csv.propose(b'"a,x";b\n"1,y";2\n\n') == (csv.Dialect("utf-8", ";"), False)  # delimiters inside quotes do not count
+    assert csv.propose(b'a,b\n1,2\n3,"4\n', whole=False) == (csv.Dialect("utf-8", ","), False)  # a sample may end inside a record
+    assert csv.propose(b"\xef\xbb\xbfa|b\n1|2\n")[0] == csv.Dialect("utf-8-sig", "|")
+    assert csv.agreement([2, 2, 3, 3, 1]) == (True, 400, 3, 2) and csv.agreement([]) == (False, 0, 0, 0)  # of equally frequent widths the greatest
+    assert csv.propose(b"a,b;c,d\n1,2;3,4\n") == (csv.Dialect("utf-8", ","), False)  # equal shares: more columns win
+    with pytest.raises(EngineError):
+        csv.propose(b"\xff\xff\xff")
     assert csv.propose("이름,도시\n가,나\n".encode("cp949"))[0].encoding == "cp949"
     for bad in (b"", b"a,a\n", b"a,\n", ROW_ID.encode() + b",b\n"):
         with pytest.raises(EngineError):
