@@ -4,31 +4,31 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.sources.tables import shared_folder
+
 BITMAP_BITS = 1 << 23
 BATCH_BYTES = 4 << 20
 ROWS_A_FILE = 250_000
+#: So many edges at most (16 bytes each) are one task's work.
+TASK_EDGES = 1_000_000
 TEXT_ROWS = 8_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else None
-    if folder is None:
-        folder = f"file://{tempfile.mkdtemp(prefix='tabforge-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def text_digest(column: str) -> Column:
+    """A digest of a text's bytes; null for null."""
+    return F.unhex(F.sha2(F.col(column), 256))
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -98,14 +98,47 @@ def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[keys.astype(np.uint64, copy=False) & np.uint64(len(bits) - 1)]
 
 
+class Forest:
+    """Union-find over 0..n-1; the root of a set is its least member."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+
+
+def _spanned(batches):
+    """(u, v): for each node of all batches but the least ones of their components, that least one."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if parts:
+        u, v = (np.concatenate(p) for p in zip(*parts, strict=True))
+        ids, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+        forest = Forest(len(ids))
+        for i, j in zip(both[: len(u)].tolist(), both[len(u) :].tolist(), strict=True):
+            forest.join(i, j)
+        roots = np.array([forest.root(i) for i in range(len(ids))], np.int64)
+        own = roots != np.arange(len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[roots[own]])], ["u", "v"])
+
+
 def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, component): the least node of each connected component of the edges (a, b), by alternating large and small stars.
 
-    Each round joins each edge with the least neighbour of its end; its result is written, so lineage stays short.  Hubs are
+    Up to TASK_EDGES distinct edges are one task with a union-find; more take rounds.  Each round joins each edge with the least neighbour of its end; its result is written, so lineage stays short.  Hubs are
     safe (``rows``: about how many edges there are, for the number of files): least neighbours are pre-aggregated, and written apart from the joins, which Spark can then split where a key is hot.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows)
     n = now.count()
+    if n <= TASK_EDGES:
+        now, rounds = written(map_arrow(now.coalesce(1), _spanned, "u long, v long"), "spanned"), 0
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", 2 * n)
@@ -119,19 +152,27 @@ def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> D
         if n == ends and not now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").head(1):
             break
     else:
-        raise RuntimeError("components did not settle")
+        if rounds:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-_KEY = "__tabforge_key"
+_KEY, PART = "__tabforge_key", "__tabforge_part"
 
 
-def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs that may have one of the ids' doc_id, rows that surely have none), told apart by a bitmap of fixed size.
+def parted(docs: DataFrame) -> DataFrame:
+    """docs with a column PART that tells rows with one doc_id but different texts apart; 0 where no doc_id repeats."""
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.withColumn(PART, F.xxhash64("text") if repeats.head(1) else F.lit(0).cast("long"))
 
-    Only the first part, little more than the rows with such an id, then needs an exact join; the other never moves.
+
+def split(docs: DataFrame, ids: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs that may have one of the ids' keys, rows that surely have none), told apart by a bitmap of fixed size.
+
+    ``on`` names the key's columns, the first of which is null in rows without a key.  Only the first part, little more than the rows with
+    such a key, then needs an exact join; the other never moves.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("doc_id")))
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64(*on)))
 
     def picking(wanted: bool):
         def pick(batches):
@@ -143,12 +184,20 @@ def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return pick
 
-    keyed = docs.withColumn(_KEY, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+    keyed = docs.withColumn(_KEY, F.when(F.col(on[0]).isNotNull(), F.xxhash64(*on)))
     return map_arrow(keyed, picking(True), docs.schema), map_arrow(keyed, picking(False), docs.schema)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among those of ids; rows without doc_id stay."""
-    may, never = split(docs, ids)
+def without(docs: DataFrame, ids: DataFrame, on: Sequence[str] = ("doc_id",), once: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose key is not among those of ids, and one row only of each key in ``once``; rows whose first key column is null stay."""
     n = docs.count()
-    return few(never, n).union(few(may.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns), n))
+    marks = ids.select(*on).distinct().withColumn(_KEY, F.lit(True))
+    if once is not None:
+        marks = marks.union(once.select(*on).distinct().withColumn(_KEY, F.lit(False)))
+    may, never = split(docs, marks, on)
+    marked = may.join(marks, list(on), "left")
+    if once is None:
+        kept = marked.where(F.col(_KEY).isNull())
+    else:
+        kept = marked.where(F.col(_KEY).isNull()).union(marked.where(~F.col(_KEY)).dropDuplicates(list(on)))
+    return few(never, n).union(few(kept.select(*docs.columns), n))

@@ -10,6 +10,7 @@ fingerprint is their whole gram.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,8 @@ def _found(h: np.ndarray, item: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, item_ids (sorted as strings), n_items, contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, also: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, item_ids (sorted as strings), n_items, contaminated, and the columns ``also``.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are not read.  A null or empty text has no words: it
     is never hit and, as an item, matches nothing.  Rows with the same or no doc_id are judged each on its own.  Hits of an

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from tabforge.llm import decontaminate, jaccard, substring
+from tabforge.llm import common, decontaminate, jaccard, substring
 from tabforge.llm.common import components, without
 from tabforge.llm.text import LOWER, UPPER, WORD
 
@@ -48,6 +48,10 @@ def brute_join(rows):
     return {i: (copies[own[i]], root(i), len(links[i])) if i in own else (i, i, 0) for i, *_ in rows}
 
 
+def class_rows(df):
+    return df.select("doc_id", "copy_id", "class_id", "n_links").collect()
+
+
 @pytest.mark.parametrize("block", (512, 4))
 def test_jaccard_join(spark, docs, corpus, monkeypatch, block):
     draw = random.Random(3)
@@ -60,27 +64,66 @@ def test_jaccard_join(spark, docs, corpus, monkeypatch, block):
         more.append((1000 + k, " ".join(own), "en", "s", 1))
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
     rows = corpus + more
-    got = jaccard.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    got = class_rows(jaccard.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(4)))
     assert {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in got} == brute_join(rows)
     assert len(got) == len(rows)
 
 
 def test_jaccard_join_odd_rows(spark, docs, corpus, empty, clashing):
-    assert jaccard.jaccard_join(empty).count() == 0
-    assert {tuple(r) for r in jaccard.jaccard_join(clashing).collect()} == {tuple(r) for r in jaccard.jaccard_join(docs).collect()}
+    join = lambda df: sorted(map(tuple, class_rows(jaccard.jaccard_join(df))), key=str)
+    assert join(empty) == [] and join(clashing) == join(docs)
     twice = spark.createDataFrame([(None, "a b c d e f", "en", "s", 1), (None, None, None, None, None), (5, corpus[0][1], "en", "s", 1), (5, corpus[0][1], "en", "s", 1), (9, corpus[0][1] + "!", "en", "s", 1)], DOCS)
-    assert sorted(map(tuple, jaccard.jaccard_join(twice).collect()), key=str) == sorted([(None, None, None, 0), (None, None, None, 0), (5, 5, 5, 1), (5, 5, 5, 1), (9, 9, 5, 1)], key=str)
+    assert join(twice) == sorted([(None, None, None, 0), (None, None, None, 0), (5, 5, 5, 1), (5, 5, 5, 1), (9, 9, 5, 1)], key=str)
     with pytest.raises(ValueError):
         jaccard.jaccard_join(docs, threshold=0.5)
 
 
+def test_jaccard_join_repeated_ids(spark):
+    """Rows that share a doc_id are judged each by its own text; none is lost, none multiplied."""
+    draw = random.Random(23)
+    a, b = sentence(draw, 80), sentence(draw, 80)
+    got = jaccard.jaccard_join(spark.createDataFrame([(1, a, "", "", 1), (5, a, "", "", 1), (5, b, "", "", 1)], DOCS)).collect()
+    assert sorted((r.doc_id, r.copy_id, r.class_id, r.n_links, r.kept) for r in got) == [(1, 1, 1, 0, True), (5, 1, 1, 0, False), (5, 5, 5, 0, True)]
+    near = a.split()
+    near[40] = "changed"
+    got = jaccard.jaccard_join(spark.createDataFrame([(5, a, "", "", 1), (5, " ".join(near), "", "", 1), (7, a.upper(), "", "", 1)], DOCS)).collect()
+    assert sorted((r.doc_id, r.copy_id, r.class_id, r.n_links) for r in got) == [(5, 5, 5, 2), (5, 5, 5, 2), (7, 7, 5, 2)] and sum(r.kept for r in got) == 1
+
+
+def test_jaccard_join_long_text_and_text_ids(spark):
+    draw = random.Random(29)
+    long = sentence(draw, 60_000).split()
+    other = list(long)
+    for _ in range(500):
+        other[draw.randrange(len(other))] = "x"
+    got = jaccard.jaccard_join(spark.createDataFrame([("a", " ".join(long)), ("b", " ".join(other)), ("c", sentence(draw, 60))], "doc_id string, text string"))
+    assert sorted(map(tuple, class_rows(got))) == [("a", "a", "a", 1), ("b", "b", "a", 1), ("c", "c", "c", 0)]
+
+
+def test_jaccard_join_chain_compares_few_pairs(spark, monkeypatch):
+    """A component far beyond a block whose neighbours alone are alike: compared bucket by bucket, not all pairs."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(31)
+    pool = sentence(draw, 15_100).split()
+    rows = [(k, " ".join(pool[3 * k : 3 * k + 67]), "", "", 1) for k in range(5000)]  # neighbours share 60 of 66 shingles
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 16)
+    first = jaccard._first_pass(spark.createDataFrame(rows, DOCS), 5).withColumnRenamed("row", "node")
+    groups = jaccard._groups(first, first.select("node", F.lit(0).cast("long").alias("comp"))).groupBy("comp", "bucket").count().collect()
+    assert all(r.bucket is not None for r in groups) and 0 < sum(r["count"] ** 2 for r in groups) < 0.05 * len(rows) ** 2
+    got = class_rows(jaccard.jaccard_join(spark.createDataFrame(rows[:300], DOCS)))
+    assert {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in got} == brute_join(rows[:300])
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     fewest = jaccard.least_matches(0.8, 1e-9)
     assert all(0 < m < 0.8 * n for n, m in fewest.items() if n > 16)
     assert all(m <= n for n, m in fewest.items())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", (10**6, 0))
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(common, "TASK_EDGES", task_edges)
     draw = random.Random(1)
     edges = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)] + [(i, 500) for i in range(300, 340)] + [(i, i + 1) for i in range(600, 640)]
     up = {}
