@@ -9,8 +9,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.sources.tables import shared_folder
 
@@ -98,6 +100,12 @@ def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[keys.astype(np.uint64, copy=False) & np.uint64(len(bits) - 1)]
 
 
+def among_packed(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``among`` for a bitmap that is too large to be opened."""
+    at = keys.astype(np.uint64, copy=False) & np.uint64(8 * len(packed) - 1)
+    return (packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 class Forest:
     """Union-find over 0..n-1; the root of a set is its least member."""
 
@@ -157,13 +165,30 @@ def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> D
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-_KEY, PART = "__tabforge_key", "__tabforge_part"
+_KEY, ID = "__tabforge_key", "__tabforge_id"
 
 
-def parted(docs: DataFrame) -> DataFrame:
-    """docs with a column PART that tells rows with one doc_id but different texts apart; 0 where no doc_id repeats."""
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with a column ID: doc_id, or, where any doc_id has several rows, (doc_id, hash of the text).  Null without doc_id.
+
+    So rows that share a doc_id but not their text are different documents; rows that repeat both are the same one.
+    """
     repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return docs.withColumn(PART, F.xxhash64("text") if repeats.head(1) else F.lit(0).cast("long"))
+    return docs.withColumn(ID, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))) if repeats.head(1) else F.col("doc_id"))
+
+
+def id_of(df: DataFrame, column: str) -> Column:
+    """The doc_id of a column made by ``identified``."""
+    return F.col(column)["doc_id"] if isinstance(df.schema[column].dataType, T.StructType) else F.col(column)
+
+
+def changes(*columns: pa.Array) -> np.ndarray:
+    """For each row but the first, whether one of the columns differs from the row before."""
+    out = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        for part in c.flatten() if pa.types.is_struct(c.type) else (c,):
+            out |= pc.not_equal(part[1:], part[:-1]).to_numpy(zero_copy_only=False)
+    return out
 
 
 def split(docs: DataFrame, ids: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:

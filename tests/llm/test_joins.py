@@ -224,6 +224,49 @@ def test_fuzzy_passage(spark):
     assert (r.doc_id, r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end) == (2, 1, 30, 109, 60, 140)
 
 
+def test_passage_recall_by_change_rate(spark):
+    """Passages of 100 words with so many words replaced at random, or evenly; the larger doc_id's copy is found at least so often."""
+    draw = random.Random(5)
+    rows, kinds = [], {}
+    for even, rate, least in ((False, 0.0, 1.0), (False, 0.1, 1.0), (False, 0.15, 0.95), (False, 0.2, 0.9), (True, 0.1, 1.0), (True, 0.15, 0.95)):
+        for _ in range(30):
+            passage = sentence(draw, 100).split()
+            changed, n = list(passage), round(100 * rate)
+            for at in [int((k + 0.5) * 100 / n) for k in range(n)] if even else draw.sample(range(100), n):
+                changed[at] = sentence(draw, 1) + "zz"
+            kinds[len(rows) + 1] = (even, rate, least)
+            rows.append((len(rows), f"{sentence(draw, 60)} {' '.join(passage)} {sentence(draw, 60)}", "", "", 1))
+            rows.append((len(rows), f"{sentence(draw, 40)} {' '.join(changed)} {sentence(draw, 70)}", "", "", 1))
+    found = substring.passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in found} <= set(kinds) and all(r.ref_doc_id == r.doc_id - 1 for r in found)
+    good = {r.doc_id for r in found if min(r.end, 140) - max(r.start, 40) >= 80 and r.end - r.start <= 115}
+    for kind in set(kinds.values()):
+        of = [i for i, k in kinds.items() if k == kind]
+        assert sum(i in good for i in of) >= kind[2] * len(of), kind
+
+
+def test_passages_of_repeated_ids(spark):
+    draw = random.Random(13)
+    a, b, c = (sentence(draw, 60) for _ in range(3))
+    rows = [(1, f"{a} {sentence(draw, 30)}"), (5, b), (5, f"{sentence(draw, 20)} {a} {sentence(draw, 20)}"), (5, b), (7, f"{c} {b}"), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.passages(docs)
+    assert sorted((r.doc_id, r.start, r.end, r.ref_doc_id) for r in found.collect()) == [(5, 20, 80, 1), (7, 60, 120, 5)]
+    left = sorted((str(r.doc_id), words(r.text)) for r in substring.cut(docs, found).collect())
+    want = [(i, words(t)) for i, t in rows[:2] + rows[3:4] + rows[5:]] + [(5, words(rows[2][1])[:20] + words(rows[2][1])[80:]), (7, words(c))]
+    assert left == sorted((str(i), w) for i, w in want)
+
+
+def test_passages_of_long_texts_and_text_ids(spark):
+    draw = random.Random(17)
+    long, shared = sentence(draw, 70_000).split(), sentence(draw, 80)
+    long[50_000:50_000] = shared.split()
+    docs = spark.createDataFrame([("a", f"{sentence(draw, 30)} {shared}"), ("b", " ".join(long)), ("c", None), ("d", "")], "doc_id string, text string")
+    found = substring.passages(docs)
+    assert [(r.doc_id, r.start, r.end, r.ref_doc_id, r.ref_start) for r in found.collect()] == [("b", 50_000, 50_080, "a", 30)]
+    assert {r.doc_id: len(words(r.text)) for r in substring.cut(docs, found).collect()}["b"] == 70_000
+
+
 def test_chain_and_align():
     import numpy as np
 
