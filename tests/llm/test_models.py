@@ -191,16 +191,79 @@ def test_rollup_commits(spark, store):
     assert store.commit("x", one) and not store.commit("x", one)
     assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v", 2, 5)]
     assert store.commit("empty", one.limit(0)) and store.totals().count() == 1
-    store.fs.create(store.path(f"{store.folder}/commits/3"), False).close()  # another writer took the next version
-    store._current = lambda: (2, f"{store.folder}/versions/none")
-    store.totals = lambda: one.sparkSession.createDataFrame([], rollup.TOTALS)
-    store.applied = lambda: one.sparkSession.createDataFrame([], "batch_id string")
+    other = rollup.RollupStore(spark, store.folder)
+    stale = other._current()
+    assert store.commit("z", one)  # another writer takes the next version
+    other._current = lambda: stale
     with pytest.raises(rollup.Conflict):
-        store.commit("y", one)
+        other.commit("y", one)
+    assert store.commit("y", one) and store.totals().first().n_docs == 6 and all(store.applied(b) for b in ("x", "empty", "z", "y")) and not store.applied("w")
     with pytest.raises(Exception, match="no such op"):
         rollup.deltas(one.replace("insert", "upsert")).collect()
 
 
+@pytest.mark.parametrize("at", range(5))
+def test_rollup_survives_a_writer_that_dies(spark, store, at):
+    """A commit that dies before, inside or after any of its steps is either whole or without effect, and can be sent again."""
+    one = spark.createDataFrame([("a", "en", "v", "insert", 5, None)], CHANGE)
+    assert store.commit("first", one)
+
+    class Dead(Exception):
+        pass
+
+    dying = rollup.RollupStore(spark, store.folder)
+    step, write, publish = iter(range(99)), dying._write, dying._publish
+
+    def dies(f):
+        def call(*args):
+            if next(step) == at:
+                if f is write:  # an empty file is left, as by a writer that dies between making and filling it
+                    dying.fs.create(dying.path(f"{dying.folder}/pending/{uuid.uuid4().hex}"), False).close()
+                raise Dead
+            return f(*args)
+
+        return call
+
+    dying._write, dying._publish = dies(write), dies(publish)
+    with pytest.raises(Dead):
+        dying.commit("second", one)
+        dying.commit("third", one)  # for steps after the last one
+    again = rollup.RollupStore(spark, store.folder)
+    assert again.totals().first().n_docs in (1, 2)
+    again.commit("second", one)
+    assert not again.commit("second", one) and not again.commit("first", one)
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 2, 10)]
+    assert again.commit("fourth", one) and again.totals().first().n_docs == 3
+
+
+def test_token_rollup_query(spark, tmp_path, docs, corpus):
+    """op9 against brute force, with repeated rows, rows without doc_id and texts of many spaces."""
+    import re
+
+    from tabforge.llm.tokens import ByteTokenizer, tokenizer_files
+
+    from .test_text import plain
+
+    rows = corpus + [corpus[0], (None, corpus[1][1], None, None, 1), (900, "a  b \n c", "en", "s0", 1), (901, "a  b \n c", "de", "s1", 1), (902, None, None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    slow = ByteTokenizer(tokenizer_files()[0]).slow
+    ids = lambda t: len(slow.encode(t, add_special_tokens=False).ids)
+    first, want = {}, {}
+    for i, t, *_ in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    for i, t, lang, source, _ in rows:
+        t = t or ""
+        if i is not None and i > first[t]:
+            continue
+        for version, n in (("byte_bpe_50k", ids(re.sub(r"\s+", " ", t))), ("words_1", len(plain(t)))):
+            d, k = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = (d + 1, k + n)
+    got = rollup.op9_token_rollup(spark, str(tmp_path))
+    assert got.columns == ["source", "lang", "tokenizer_version", "n_docs", "n_tokens"]
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want
+
+
 def test_counts(spark, docs, corpus, empty, clashing):
     import re
 
