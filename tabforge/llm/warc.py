@@ -1,7 +1,7 @@
 """WARC archives: a writer with one gzip member per record, and a sequential reader.
 
 The reader decompresses incrementally, frames records by Content-Length and verifies block and payload digests.  Archives are
-written and read through pyarrow's file systems, so the folder may be any URI that all executors reach.
+written and read through pyarrow's file systems, so the folder may be any URI of theirs that all executors reach (s3a and s3n count as s3).
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import map_arrow, shared_folder, table, written
+from tabforge.llm.common import map_arrow, shared_folder, split, table, written
 
 CHUNK = 1 << 16
 ROLL_BYTES = 1 << 30
+#: So many digests, those of most rows, are broadcast, so that rows of a hot payload are not shuffled.
+HOT = 4096
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -32,12 +34,17 @@ class WarcError(ValueError):
     """An archive that is not well formed, or whose content does not have the digest it states."""
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class Record(NamedTuple):
     headers: dict[str, str]
     http: dict[str, str]
     payload_bytes: int
     payload_digest: str
     payload: bytes | None
+    error: str | None = None
 
 
 def digest(*parts: bytes) -> str:
@@ -128,11 +135,15 @@ def _fields(lines: list[str]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[Record]:
-    """The records of an archive in order; memory stays bounded unless payloads are kept."""
+def read_records(stream: BinaryIO, keep_payload: bool = False, strict: bool = True) -> Iterator[Record]:
+    """The records of an archive in order; memory stays bounded unless payloads are kept.  SHA-1 digests are verified, others are not.
+
+    A record whose framing is broken is a WarcError, as what follows it cannot be found; one whose digest differs is too, or, if not
+    ``strict``, has the error in it.
+    """
     members = _Members(stream)
     while members.next():
-        version, *lines = members.head().decode().split("\r\n")
+        version, *lines = members.head().decode(errors="replace").split("\r\n")
         if not version.startswith("WARC/1."):
             raise WarcError(f"not a WARC record: {version[:20]!r}")
         headers = _fields(lines)
@@ -146,19 +157,24 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
                 pending += part
                 if (at := pending.find(b"\r\n\r\n")) < 0:
                     continue
-                http, part, pending = _fields(pending[:at].decode().split("\r\n")[1:]), pending[at + 4 :], None
+                http, part, pending = _fields(pending[:at].decode(errors="replace").split("\r\n")[1:]), pending[at + 4 :], None
             body.update(part)
             seen += len(part)
             if keep_payload:
                 parts.append(part)
         if b"".join(members.take(4)) != b"\r\n\r\n" or members.fill():
             raise WarcError("a record is longer than its Content-Length")
-        stated, revisit = headers.get("warc-payload-digest", "").removeprefix("sha1:"), headers.get("warc-type") == "revisit"
+        by_sha1, revisit = headers.get("warc-payload-digest", "").startswith("sha1:"), headers.get("warc-type") == "revisit"
+        stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
         own, whole = (base64.b32encode(h.digest()).decode() for h in (body, block))
-        if headers.get("warc-block-digest", f"sha1:{whole}") != f"sha1:{whole}" or stated and not revisit and stated != own:
-            raise WarcError(f"a digest differs in {headers.get('warc-record-id')}")
-        size = int(http.get("content-length", 0)) if revisit else seen
-        yield Record(headers, http, size, stated if revisit else own, b"".join(parts) if keep_payload and not revisit else None)
+        error, of_block = None, headers.get("warc-block-digest", "")
+        if of_block.startswith("sha1:") and of_block != f"sha1:{whole}" or by_sha1 and not revisit and stated != own:
+            error = f"a digest differs in {headers.get('warc-record-id')}"
+            if strict:
+                raise WarcError(error)
+        length = http.get("content-length", "")
+        size = (int(length) if length.isdigit() else 0) if revisit else seen
+        yield Record(headers, http, size, stated if revisit else own, b"".join(parts) if keep_payload and not revisit else None, error)
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -170,11 +186,17 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     executor left behind is not read.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    first = p.select("sha", "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = p.join(first, "sha", "left").select("page_id", "url", "html", F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = p.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = written(first, "firsts")
+    hot = first.orderBy(F.desc("n"), "sha").limit(HOT)
+    may, never = split(p, first, ["sha"])  # pages that nothing repeats stay where they are
+    met = may.join(F.broadcast(hot.select("sha", "first")), "sha", "left")
+    columns = ("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    rest = met.where("first is null").drop("first").join(first.select("sha", "first"), "sha", "left") if first.count() > HOT else met.where("first is null")
+    linked = met.where("first is not null").select(*columns).union(rest.select(*columns)).union(never.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
     def make(batches):
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = file_system(folder)
         where.create_dir(base, recursive=True)
         out, path, n, size, done = None, "", 0, 0, []
         for b in batches:
@@ -200,39 +222,57 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
 
 
 def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each response and revisit record."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, path, error[, payload]) of each response and revisit record.
+
+    ``archives`` has a column ``path`` within ``folder``'s file system; any WARC archive of a gzip member a record will do.  ``page_id`` and
+    ``refers_to`` are null for records whose id (``record_id``, as it is) is not one of a page.  A record with another digest than it
+    states has an ``error``; an archive that is broken at some point has a row with nothing but ``path`` and ``error`` after its good records.
+    """
+    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("path", pa.string()), ("error", pa.string())]
+    schema = pa.schema(fields + [("payload", pa.binary())] * payload)
 
     def number(urn: str | None) -> int | None:
-        digits = (urn or "").removeprefix("<urn:page:").rstrip(">")
-        return int(digits) if digits else None
+        found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", urn or "")
+        return int(found[1]) if found else None
+
+    def rows_of(where, path):
+        try:
+            with where.open_input_stream(path, compression=None) as stream:
+                for r in read_records(stream, payload, strict=False):
+                    h = r.headers
+                    if h.get("warc-type") in ("response", "revisit"):
+                        yield number(h.get("warc-record-id")), h.get("warc-target-uri"), r.payload_bytes, r.payload_digest, h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-record-id"), path, r.error, r.payload
+        except WarcError as e:
+            yield *[None] * 7, path, str(e), None
 
     def make(batches):
-        where, _ = fs.FileSystem.from_uri(folder)
+        where, _ = file_system(folder)
         for b in batches:
             for path in b.column("path").to_pylist():
                 rows, held = [], 0
-                with where.open_input_stream(path, compression=None) as stream:
-                    for r in read_records(stream, payload):
-                        if (kind := r.headers["warc-type"]) not in ("response", "revisit"):
-                            continue
-                        rows.append(dict(zip(schema.names, (number(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), r.payload_bytes, r.payload_digest, kind, number(r.headers.get("warc-refers-to")), r.payload), strict=False)))
-                        held += len(r.payload or b"")
-                        if len(rows) == 4096 or held > 1 << 24:
-                            yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows, held = [], 0
+                for row in rows_of(where, path):
+                    rows.append(dict(zip(schema.names, row, strict=False)))
+                    held += len(row[-1] or b"")
+                    if len(rows) == 4096 or held > 1 << 24:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     paths = archives.select("path")
-    return map_arrow(paths.repartition(max(1, paths.count())), make, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
+    return map_arrow(paths.repartition(max(1, paths.count())), make, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, path string, error string" + ", payload binary" * payload)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """A record for each row of ``pages``, written to archives in the shared folder and read back; see ``write_archives``.
+
+    A row of an archive that cannot be read back whole is an error that names the archive.
+    """
     folder = f"{shared_folder(spark)}/warc/{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")).cast("long"))
+    return read_archives(archives, folder).select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
