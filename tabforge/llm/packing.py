@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizers
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's tokens and the end token; null text is empty.
 
     Documents of more than ``capacity`` ids are cut into pieces of that many, of which the first may be shorter.  Rows with
-    the same or no doc_id are documents of their own.
+    the same or no doc_id are documents of their own, and so are repeated rows.  Texts of any length are read as a whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -128,14 +128,16 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the written table.
     """
     spark = rows.sparkSession
-    rows = written(rows, "pieces")
+    own = [c for c in rows.columns if c != "ids"]
+    # the bucket is written with the row, so that rows which are equal in all columns spread too
+    stored = written(rows.withColumn("_bucket", F.xxhash64(*own, F.monotonically_increasing_id())), "pieces")
+    rows = stored.drop("_bucket")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     steps = plan(counts, capacity)
     buckets = max(LEAST_BUCKETS, sum(counts.values()) // BUCKET_ROWS)
-    own = [c for c in rows.columns if c != "ids"]
-    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int"))
+    keyed = stored.withColumn("_bucket", F.pmod("_bucket", F.lit(buckets)).cast("int"))
     offsets = keyed.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     offsets = offsets.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy(*own)) - 1
@@ -162,4 +164,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents`` and their places in sequences of 1024 tokens; see ``pieces`` and ``pack``."""
     return pack(pieces(table(spark, sf_dir, "documents")))

@@ -4,9 +4,11 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tabforge.llm.packing import OpenBins, pack, pieces, plan, sequences
-from tabforge.llm.tokens import ByteTokenizer, tokenizer_files
+from tabforge.llm.tokens import ByteTokenizer, byte_tokenizer, tokenizer_files
 
 
 def best_fit(lengths: list[int], capacity: int) -> int:
@@ -75,3 +77,21 @@ def test_pieces_and_sequences(spark, docs, corpus, empty, clashing):
 def test_lengths_out_of_range(spark):
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(1, 65)], "doc_id long, length long"), 64)
+
+
+def test_equal_rows_spread(spark):
+    """Rows equal in all columns are not ranked by one task."""
+    packed = pack(spark.range(4000).selectExpr("cast(null as long) as doc_id", "cast(10 as long) as length").repartition(8), 64)
+    rows = packed.collect()
+    assert len(rows) == 4000 and len({(r.sequence_id, r.offset) for r in rows}) == 4000 and len({r.sequence_id for r in rows}) == -(-4000 // 6)
+    from pyspark.sql import functions as F
+
+    buckets = spark.range(4000).select(F.pmod(F.xxhash64(F.lit(None).cast("long"), F.lit(10), F.monotonically_increasing_id()), F.lit(256)).alias("b")).groupBy("b").count()
+    assert buckets.agg(F.max("count")).first()[0] < 100
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=200) | st.text("aé ßÄ\u0301\u200d1'٣Ⅷ\n\t\u3000漢😀ǅ", max_size=80))
+def test_ranks_give_the_ids_of_tokenizers(text):
+    fast = byte_tokenizer()
+    assert fast.ids(text).tolist() == fast.slow.encode(text, add_special_tokens=False).ids
