@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import among, bitmap, few, map_arrow, opened, table, written
+from tabforge.llm.common import among, bitmap, few, kind_of, map_arrow, opened, table, written
 from tabforge.llm.text import LOWER, UPPER, Words, grams, inside, lists, window_min, words
 
 WINDOW, GRAM = 13, 9
@@ -76,7 +76,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are not read.  A null or empty text has no words: it
     is never hit and, as an item, matches nothing.  Rows with the same or no doc_id are judged each on its own.  Hits of an
-    item without item_id count as hit words, but the item is not listed.  Repeated items count once by item_id.
+    item without item_id count as hit words, but the item is not listed.  Repeated items count once by item_id.  Texts of any length are
+    judged as a whole.  ``also`` must not repeat names of the result.
     """
     spark = docs.sparkSession
     known = written(fingerprints_of_items(items, window, gram), "items")
@@ -106,30 +107,42 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                     found[w.first + i] = np.unique(value[doc == i])
                     kept[w.first + i] = w.of(i).astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), pa.array(n_words), pa.array([None if f is None else f.view(np.int64) for f in found], pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                ["row", "doc_id", "n_words", "prints", "words"],
+                [b.column("row"), b.column("doc_id"), *(b.column(c) for c in also), pa.array(n_words), pa.array([None if f is None else f.view(np.int64) for f in found], pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                ["row", "doc_id", *also, "n_words", "prints", "words"],
             )
 
-    some = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    looked = written(map_arrow(few(some, docs.count()), look, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, prints array<long>, words binary"), "looked")
+    some = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *also, "text")
+    fields = "".join(f", `{c}` {kind_of(docs, c)}" for c in also)
+    looked = written(map_arrow(few(some, docs.count()), look, f"row long, doc_id {kind_of(docs, 'doc_id')}{fields}, n_words long, prints array<long>, words binary"), "looked")
     hits = looked.where("prints is not null")
     pairs = hits.select("row", F.explode("prints").alias("print")).join(prints, "print").select("row", "ikey").distinct()
-    full = pairs.join(hits.select("row", F.col("words").alias("own")), "row").join(known.select("ikey", "item_id", "words"), "ikey")
+    # a document's words are joined once, with all items that it may hold
+    of_row = pairs.join(known.select("ikey", F.col("item_id").cast("string").alias("id"), "words"), "ikey").groupBy("row").agg(F.collect_list(F.struct("id", "words")).alias("items"))
 
     def extend(batches):
         for b in batches:
-            out = [_found(np.frombuffer(d, "<u8"), np.frombuffer(i, "<u8"), window) for d, i in zip(b.column("own").to_pylist(), b.column("words").to_pylist(), strict=True)]
-            keep = np.flatnonzero([len(x) > 0 for x in out])
-            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(keep)), b.column("item_id").take(pa.array(keep)), lists([out[i] for i in keep], pa.int64())], ["row", "item_id", "at"])
-
-    extended = map_arrow(full.select("row", "item_id", "own", "words"), extend, f"row long, item_id {items.schema['item_id'].dataType.simpleString()}, at array<long>")
-    by_row = extended.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    out = looked.select("row", "doc_id", "n_words").join(by_row, "row", "left")
+            n_hit, ids = [], []
+            for own, candidates in zip(b.column("own").to_pylist(), b.column("items").to_pylist(), strict=True):
+                h = np.frombuffer(own, "<u8")
+                hit, found = np.zeros(len(h), bool), set()
+                for item in candidates:
+                    at = _found(h, np.frombuffer(item["words"], "<u8"), window)
+                    hit[at] = True
+                    if len(at) and item["id"] is not None:
+                        found.add(item["id"])
+                n_hit.append(int(hit.sum()))
+                ids.append(sorted(found, key=str.encode))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string()))], ["row", "n_hit", "item_ids"])
+
+    full = hits.select("row", F.col("words").alias("own")).join(of_row, "row").select("row", "own", "items")
+    by_row = map_arrow(full, extend, "row long, n_hit long, item_ids array<string>")
+    out = looked.select("row", "doc_id", *also, "n_words").join(by_row, "row", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *also)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all of ``benchmark``; see ``decontaminate``."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 

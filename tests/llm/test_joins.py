@@ -186,6 +186,16 @@ def test_decontaminate(spark, docs, corpus, empty, clashing):
     assert decontaminate.NONE == hashlib.sha256(b"").hexdigest()
 
 
+def test_decontaminate_long_document_of_many_items(spark):
+    draw = random.Random(41)
+    items = [(k, sentence(draw, 15)) for k in range(300)]
+    text = " ".join(f"{t} {sentence(draw, 5)}" for _, t in items) + " " + sentence(draw, 60_000)
+    docs = spark.createDataFrame([("long", text, 7), ("none", sentence(draw, 50), 8)], "doc_id string, text string, mine long")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), also=["mine"]).collect()}
+    assert (got["long"].n_hit, got["long"].n_items, got["long"].n_words, got["long"].mine) == (4500, 300, 66_000, 7) and got["long"].contaminated
+    assert list(got["long"].item_ids) == sorted(str(k) for k in range(300)) and not got["none"].contaminated
+
+
 def covered(rows, found):
     """Words that lie in 50 words which a smaller doc_id has too, and words of the found passages, by document."""
     seen, want = {}, {}
