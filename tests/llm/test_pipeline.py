@@ -99,3 +99,20 @@ def test_queries_equal_their_sql(spark, name):
     order = [d[0] for d in con.description]
     assert sorted(order) == sorted(got.columns)
     assert sorted(map(str, (tuple(r) for r in got.select(*order).collect()))) == sorted(map(str, want))
+
+
+def test_stages_keep_rows_of_repeated_ids_apart(spark):
+    """A doc_id with several texts: no stage takes a text for another of the same id, and one of several equal rows stays."""
+    import random
+
+    from .conftest import DOCS, sentence
+
+    draw = random.Random(3)
+    item = table(spark, SF, "benchmark").where("length(text) > 100").first().text
+    a, b, c = (sentence(draw, 80) for _ in range(3))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (7, c, "en", "s", 1), (7, c, "de", "t", 1), (9, item, "en", "s", 1), (9, b + " more", "en", "s", 1), (9, None, "en", "s", None), (9, None, "en", "s", None)], DOCS)
+    stage = dict(corpus_pipeline.STAGES)
+    left = sorted((r.doc_id, r.text or "") for r in stage["near_duplicates"](spark, docs, SF).collect())
+    assert left == sorted([(1, a), (5, b), (7, c), (9, item), (9, ""), (9, "")])
+    left = sorted((r.doc_id, r.text or "") for r in stage["contamination"](spark, docs, SF).collect())
+    assert left == sorted([(1, a), (5, a), (5, b), (7, c), (7, c), (9, b + " more"), (9, ""), (9, "")])
