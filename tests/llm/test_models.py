@@ -65,6 +65,41 @@ def test_toxicity_odd_rows(spark, labelled):
     assert toxicity.fit(docs, nulls).weights[-1] == bare.weights[-1]
 
 
+def test_toxicity_learns_from_unlabelled_documents(spark, labelled):
+    """Posterior labels of unlabelled documents, and not known ones alone, make the label model and train the classifier."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    alone = toxicity.fit(docs.join(labels.select("doc_id"), "doc_id").select(docs.columns), labels)
+    assert not np.array_equal(model.weights, alone.weights) or not np.array_equal(model.rates, alone.rates)
+    # toxic unlabelled documents in numbers: the label model finds them by their votes, and the classifier's bias follows their share
+    more = spark.range(10_000, 12_000).selectExpr("id as doc_id", "'some zorkwald and a blarg with a quuxer' as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    many = toxicity.fit(docs.unionByName(more), labels)
+    z = lambda m: m.weights[-1]
+    assert z(many) > z(alone)
+    # labels turned round on held-out rows, which nothing may read, change nothing
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert np.array_equal(toxicity.fit(docs, turned).weights, model.weights)
+
+
+def test_toxicity_labels_of_large_and_text_ids():
+    ids, toxic = pa.array([2**53, 2**53 + 1, 7]), np.array([1, 0, 1])
+    assert toxicity._labels_of(pa.array([2**53 + 1, None, 2**53, 8, 7]), ids, toxic).tolist() == [0, -1, 1, -1, 1]
+    assert toxicity._labels_of(pa.array(["a", None, "b"]), pa.array(["b"]), np.array([1])).tolist() == [-1, -1, 1]
+
+
+def test_toxicity_patterns_of_whole_texts():
+    texts = ["a" * 63 + "!!!" + "b", "A" * 60 + "b" * 59, "A" * 59 + "b" * 60, "!!", None, "x!!" + "y" * 61 + "!"]
+    shout, bang = toxicity._patterns(pa.array(texts), piece=64)
+    assert shout.tolist() == [False, True, False, False, False, False] and bang.tolist() == [True, False, False, False, False, False]
+
+
+def test_toxicity_clashing_columns_and_text_ids(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs.selectExpr("concat('d', doc_id) as doc_id", "text", "'x' as bits", "'y' as label", "'z' as n"), labels.selectExpr("concat('d', doc_id) as doc_id", "toxic"))
+    out = toxicity.scored(docs.selectExpr("doc_id", "text", "0.5 as score", "1 as bits").limit(5), model)
+    assert out.columns == ["doc_id", "text", "bits", "score"] and out.count() == 5
+
+
 def test_scores_depend_on_text_only(spark, labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels)
