@@ -150,17 +150,13 @@ def test_co_training_uses_the_other_view():
 def brute_top(rows, k):
     import math
 
-    v = {}
-    for i, x in rows:
-        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
-            v.setdefault(i, []).append(tuple(math.floor(64 * c) for c in x))
-    every = sorted({(i, q) for i, qs in v.items() for q in qs})
-    out = set()
-    for i, q in every:
+    v = [(i, tuple(math.floor(64 * c) for c in x)) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for a, (i, q) in enumerate(v):
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in every if j != i and len(c) == len(q))[:k]
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)}
-    return out
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for b, (j, c) in enumerate(v) if a != b and len(c) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize(("n", "block", "leaf"), ((400, 120, 8), (30, 1000, 256), (3, 10, 4)))
@@ -171,11 +167,11 @@ def test_exact_top_k(spark, monkeypatch, n, block, leaf):
     rows = [(i, (centers[i % 5] + draw.normal(0, 0.2, 6)).tolist()) for i in range(n)]
     if n > 100:
         rows = [(i, rows[0][1] if i % 4 == 1 else x) for i, x in rows]  # a quarter are copies
-    rows += [(2000, None), (2001, []), (2002, [1.0, None]), (2003, [float("nan")]), (2004, [float("inf")]), (None, [1.0] * 6), (2020, [1.0, 2.0]), (2021, [2.0, 1.0]), (2040, [0.0] * 6), rows[0]]
+    rows += [(2000, None), (2001, []), (2002, [1.0, None]), (2003, [float("nan")]), (2004, [float("inf")]), (None, [1.0] * 6), (2020, [1.0, 2.0]), (2021, [2.0, 1.0]), (2040, [0.0] * 6), (2060, []), rows[0]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     vectors = written(mtree.whole(df), "v")
     got = mtree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, block, 7)
-    assert {tuple(r) for r in got.collect()} == brute_top(rows, 20)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 20)
 
 
 def test_top_k_of_nothing(spark):
@@ -187,7 +183,9 @@ def test_bounds_avoid_computations():
     draw = np.random.default_rng(0)
     centers = draw.normal(0, 300, (40, 8))
     v = np.round(np.repeat(centers, 100, 0) + draw.normal(0, 3, (4000, 8))).astype(np.int64)
-    rows = mtree._pages(mtree.pa.table({"vec_id": np.arange(4000), "v": mtree.pa.array(v.tolist()), "block": mtree.pa.array(np.zeros(4000, np.int32))})).to_pylist()
+    zero = np.zeros(4000, np.int32)
+    top = np.full(4000, float((v * v).sum(1).max()))
+    rows = mtree._pages(pa.table({"row": np.arange(4000), "vec_id": np.arange(4000), "v": pa.array(v.tolist()), "dim": zero + 8, "pivot": zero, "sub": zero, "top": top})).to_pylist()
     tree = mtree.Tree(rows)
     ids, scores = tree.search(5, v[5], 20)
     order = sorted((-int(v[5] @ v[j]), j) for j in range(4000) if j != 5)[:20]
@@ -195,6 +193,36 @@ def test_bounds_avoid_computations():
     assert tree.computed < 2500
 
 
+def test_blocks_out_of_reach_are_not_asked(spark, monkeypatch):
+    """Clustered vectors: four times as many in as many more clusters ask each query's blocks hardly more often; copies of one vector
+    beyond a block are dealt on."""
+    asked = {}
+    real = mtree.written
+
+    def noted(df, name, *args):
+        out = real(df, name, *args)
+        if name == "asked":
+            asked[n] = out.count()
+        return out
+
+    monkeypatch.setattr(mtree, "written", noted)
+    draw = np.random.default_rng(3)
+    for n in (1000, 4000):
+        centers = draw.normal(0, 30, (n // 50, 8))
+        rows = [(i, (centers[i % len(centers)] + draw.normal(0, 0.05, 8)).tolist()) for i in range(n)]
+        vectors = real(mtree.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "v")
+        got = mtree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, 50, 64)
+        if n == 1000:
+            assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 20)
+        else:
+            assert got.count() == n // 20 * 20
+    blocks, queries = {1000: 20, 4000: 80}, {1000: 50, 4000: 200}
+    assert asked[4000] / queries[4000] < 2 * max(1, asked[1000] / queries[1000]) and asked[4000] < 0.25 * blocks[4000] * queries[4000]
+    same = real(mtree.whole(spark.range(500).selectExpr("id as vec_id", "array(1d, 2d) as embedding")), "v")
+    index = mtree.build_index(same, 50)
+    assert index.select("sub").distinct().count() >= 4 and mtree.top_k(same, same.where("vec_id = 0"), 20, 50).count() == 20
+
+
 @pytest.fixture()
 def store(spark, tmp_path):
     return rollup.RollupStore(spark, f"file://{tmp_path}/{uuid.uuid4().hex}")
