@@ -1,8 +1,7 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
 Each view has its own linear classifier.  In each round a view labels the unlabelled documents that it is surest of, and these
-join the other view's training rows.  Both views are then calibrated, and a weighing of their calibrated odds, fitted on rows
-kept apart for it, scores all documents.
+join the other view's training rows, as long as the view does well on labelled rows that are kept apart: one that does not has nothing to teach.  Both views are then calibrated, and a weighing of their calibrated odds, fitted on the rows kept apart, scores all documents.
 
 Labelled rows are a bounded sample; unlabelled ones are all other documents: those that labels lack, that are held out, whose
 quality is null, or that are beyond the sample (of these the text and metadata alone are read).  Their features are written once,
@@ -22,19 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tabforge.llm.common import map_arrow, table, written
+from tabforge.llm.common import kind_of, map_arrow, table, written
 from tabforge.llm.text import buffers, grams, inside, words
-from tabforge.llm.toxicity import held_out
+from tabforge.llm.toxicity import held_out, labels_of
 
 #: At most so many labelled rows train the views: those with the least hashes of doc_id.
 SAMPLE_ROWS = 20_000
 #: Documents are equally sure whose log odds fall into one of so many bins from 0 to LIMIT; hashes of doc_id, as many bins, order these.
 BINS, LIMIT, BLOCK = 4096, 30.0, 2048
 ROUNDS, SHARE = 5, 0.05
-SOURCES, LANGS = 64, 16
+SOURCES, LANGS, WORDS = 64, 16, 64
+#: A view teaches a label while its area under the curve on the rows kept apart is above one half by so many standard errors, and so many of those
+#: rows that it would give the label have it, where there are so many rows to judge by.
+SURE, PRECISION, JUDGED = 2.0, 0.95, 100
 THRESHOLD = 0.5
-TEXT_FEATURES = ("log words", "word length", "distinct words", "repeated trigrams", "capitals", "digits", "signs", "other bytes", "lines", "log bytes", "empty")
+TEXT_FEATURES = (*(f"share of words {k}" for k in range(WORDS)), "log words", "word length", "distinct words", "repeated trigrams", "capitals", "digits", "signs", "other bytes", "lines", "log bytes", "empty")
 
 
 class View(NamedTuple):
@@ -58,19 +61,24 @@ class Round(NamedTuple):
     cuts: dict[tuple[int, int], tuple[int, int]]
 
 
+#: The cut of a view that gives no labels: no document is that sure.
+NOTHING = (BINS, 0)
+
 #: Sums an array-valued function of (text features, metadata features, hash bins) over blocks of unlabelled documents; 0 if there are none.
 Fold = Callable[[Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
 
 
 def text_view(column: pa.Array) -> np.ndarray:
-    """Features of whole texts; texts without words have zeros but for the last."""
+    """Features of whole texts: shares of words by hash, and counts; texts without words have zeros but for the last."""
     data, at = buffers(column)
     n = len(column)
     size = np.diff(at).astype(float)
     count = np.zeros(n)
-    letters, distinct, repeated, trigrams = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    letters, distinct, repeated, trigrams, bags = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, WORDS))
     for w in words(column):
         docs = w.first + np.arange(len(w.at) - 1)
+        owner = np.repeat(np.arange(len(docs)), np.diff(w.at))
+        bags[docs] += np.bincount(owner * WORDS + (w.hashes % np.uint64(WORDS)).astype(np.int64), minlength=len(docs) * WORDS).reshape(len(docs), WORDS)
         count[docs] = np.diff(w.at)
         letters[docs] += np.bincount(np.searchsorted(w.at, np.arange(len(w.starts)), "right") - 1, weights=w.ends - w.starts, minlength=len(docs))
         g = grams(w.hashes, 3)
@@ -93,7 +101,7 @@ def text_view(column: pa.Array) -> np.ndarray:
             total = np.concatenate([[0], np.cumsum(is_kind)])
             kinds[lo : lo + 256, k] = total[edges[1:]] - total[edges[:-1]]
     safe = np.maximum(count, 1)
-    return np.column_stack([np.log1p(count), letters / safe, distinct / safe, 1 - repeated / np.maximum(trigrams, 1), *(kinds[:, k] / np.maximum(size, 1) for k in range(5)), np.log1p(size), count == 0])
+    return np.column_stack([np.sqrt(bags / safe[:, None]), np.log1p(count), letters / safe, distinct / safe, 1 - repeated / np.maximum(trigrams, 1), *(kinds[:, k] / np.maximum(size, 1) for k in range(5)), np.log1p(size), count == 0])
 
 
 def meta_codes(source: list, lang: list, n_chars: list) -> np.ndarray:
@@ -162,16 +170,22 @@ def _sureness(z: np.ndarray) -> np.ndarray:
     return np.minimum(np.abs(z) * (BINS / LIMIT), BINS - 1).astype(np.int64)
 
 
+def _agreed(z: list[np.ndarray], me: int, label: int) -> np.ndarray:
+    """Documents for which a view's odds, and those of both views together, are for the label: one that the other view is surer to be of the other
+    class is not given to it."""
+    return ((z[me] > 0) == bool(label)) & ((z[0] + z[1] > 0) == bool(label))
+
+
 def _given(history: list[Round], features: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> list[np.ndarray]:
     """By view, the labels that the rounds so far have given each document for it; -1 for none."""
     out = [np.full(len(key), -1), np.full(len(key), -1)]
     for r in history:
+        z = [_logit(v, x) for v, x in zip(r.views, features, strict=True)]
         for me, other in ((0, 1), (1, 0)):
-            z = _logit(r.views[me], features[me])
-            sure = _sureness(z)
+            sure = _sureness(z[me])
             for label in (1, 0):
                 at, tie = r.cuts[me, label]
-                out[other][(out[other] < 0) & ((z > 0) == bool(label)) & ((sure > at) | ((sure == at) & (key < tie)))] = label
+                out[other][(out[other] < 0) & _agreed(z, me, label) & ((sure > at) | ((sure == at) & (key < tie)))] = label
     return out
 
 
@@ -185,7 +199,7 @@ def _cuts(fold: Fold, history: list[Round], views: list[View], wanted: dict[int,
             out = []
             z, taken = [_logit(v, x) for v, x in zip(views, (text, meta), strict=True)], _given(history, (text, meta), key)
             for me, label in sides:
-                mine = ((z[me] > 0) == bool(label)) & (taken[1 - me] < 0)
+                mine = _agreed(z, me, label) & (taken[1 - me] < 0)
                 sure = _sureness(z[me])
                 out.append(np.bincount(sure[mine] if at is None else key[mine & (sure == at[me, label])], minlength=BINS))
             return np.array(out, float)
@@ -224,6 +238,26 @@ def _taught(fold: Fold, history: list[Round], own: list[tuple[np.ndarray, np.nda
     return weights
 
 
+def area(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Area under the curve of scores for labels 0 and 1, and its standard error were the scores random; one half without both labels."""
+    n1 = int(y.sum())
+    n0 = len(y) - n1
+    if not n0 or not n1:
+        return 0.5, 0.0
+    values, inverse, times = np.unique(z, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[inverse]
+    return float((rank[y > 0].sum() - n1 * (n1 + 1) / 2) / (n0 * n1)), float(np.sqrt((n0 + n1 + 1) / (12 * n0 * n1)))
+
+
+def _teaches(z: np.ndarray, y: np.ndarray, label: int, cut: int) -> bool:
+    """Whether a view's labels are worth giving, by its odds for rows kept apart: it ranks them better than chance, and those that it would
+    give this label have it.  A label that it gives to none of them has the precision of a guess; fewer than JUDGED rows say too little for that."""
+    auc, error = area(z, y)
+    sure = ((z > 0) == bool(label)) & (_sureness(z) >= cut)
+    right, guess = int((y[sure] == label).sum()), float((y == label).mean())
+    return auc > 0.5 + SURE * error and (len(y) < JUDGED or right + guess >= PRECISION * (int(sure.sum()) + 1))
+
+
 def in_memory(text: np.ndarray, meta: np.ndarray) -> Fold:
     return lambda make: make(text, meta, _hash_bins(np.arange(len(text)))) if len(text) else np.zeros(1)
 
@@ -250,7 +284,12 @@ def co_train_over(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: Fold,
     history: list[Round] = []
     for _ in range(rounds if n else 0):
         views = [View(c, s, w, 1.0, 0.0) for (c, s), w in zip(scales, weights, strict=True)]
-        history = [*history, Round(views, _cuts(fold, history, views, {1: int(share * n * rate), 0: int(share * n * (1 - rate))}))]
+        cuts = _cuts(fold, history, views, {1: int(share * n * rate), 0: int(share * n * (1 - rate))})
+        if apart.any():
+            cuts = {(v, label): at if _teaches(_logit(views[v], (text, meta)[v][apart]), y[apart], label, at[0]) else NOTHING for (v, label), at in cuts.items()}
+        if all(at == NOTHING for at in cuts.values()):
+            break
+        history = [*history, Round(views, cuts)]
         weights = _taught(fold, history, own, scales, weights)
     views = [View(c, s, w, 1.0, 0.0) for (c, s), w in zip(scales, weights, strict=True)]
     kept = apart if 0 < y[apart].sum() < apart.sum() else np.ones(len(y), bool)
@@ -262,24 +301,24 @@ def co_train_over(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: Fold,
     return Model(*calibrated, _newton(both, y[kept]))
 
 
-def features(docs: DataFrame, chosen: dict[int, int]) -> DataFrame:
-    """(doc_id, label, x) of each doc_id, written once: its label in ``chosen`` or -1, and the bytes of its text features and metadata codes.
+def features(docs: DataFrame, chosen: tuple[pa.Array, np.ndarray]) -> DataFrame:
+    """(doc_id, label, key, x) of each doc_id, written once: its label in ``chosen`` or -1, a hash of it, and the bytes of its text features and metadata codes.
 
     Of several rows with one doc_id the one with the least bytes counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def make(batches):
-        label = shared.value
+        ids, label = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
                 p = b.slice(lo, BLOCK)
                 x = np.column_stack([text_view(p.column("text")), meta_codes(*(p.column(c).to_pylist() for c in ("source", "lang", "n_chars")))])
-                ids = p.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([label.get(i, -1) for i in ids], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(labels_of(p.column("doc_id"), ids, label)), p.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "key", "x"])
 
-    every = map_arrow(docs.select("doc_id", "text", "source", "lang", "n_chars").where("doc_id is not null"), make, "doc_id long, label long, x binary")
-    return written(every.groupBy("doc_id", "label").agg(F.min("x").alias("x")), "features")
+    some = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), "text", "source", "lang", "n_chars")
+    every = map_arrow(some, make, f"doc_id {kind_of(docs, 'doc_id')}, label long, key long, x binary")
+    return written(every.groupBy("doc_id", "label", "key").agg(F.min("x").alias("x")), "features")
 
 
 def _opened(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -297,12 +336,12 @@ def over(pool: DataFrame) -> Fold:
             for b in batches:
                 for lo in range(0, b.num_rows, BLOCK):
                     p = b.slice(lo, BLOCK)
-                    part = make(*_opened(p.column("x")), _hash_bins(p.column("doc_id").to_numpy(zero_copy_only=False)))
+                    part = make(*_opened(p.column("x")), _hash_bins(p.column("key").to_numpy()))
                     total = part if total is None else total + part
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([repr(total.shape)]), pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], ["shape", "sums"])
 
-        got = [np.frombuffer(r["sums"]).reshape(ast.literal_eval(r["shape"])) for r in map_arrow(pool.select("doc_id", "x"), each, "shape string, sums binary").collect()]
+        got = [np.frombuffer(r["sums"]).reshape(ast.literal_eval(r["shape"])) for r in map_arrow(pool.select("key", "x"), each, "shape string, sums binary").collect()]
         return sum(got) if got else np.zeros(1)
 
     return fold
@@ -311,9 +350,11 @@ def over(pool: DataFrame) -> Fold:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learns from labels (doc_id, quality) of rows that are not held out; None if they have fewer than two classes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = {r["doc_id"]: int(r["quality"]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()}
-    if len(set(chosen.values())) < 2:
+    kind = docs.schema["doc_id"].dataType
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality")).collect()
+    if len({r["quality"] for r in picked}) < 2:
         return None
+    chosen = pa.array([r["doc_id"] for r in picked], to_arrow_type(kind)), np.array([r["quality"] for r in picked], np.int64)
     every = features(docs, chosen)
     got = every.where("label >= 0").toPandas().sort_values("doc_id")
     y = got["label"].to_numpy()
@@ -327,7 +368,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, text_score, metadata_score, score of each row; all 0.5 without a model.  Nulls have features of their own; doc_id is no feature."""
+    """doc_id, text_score, metadata_score, score of each row; all 0.5 without a model.  Other columns than doc_id, text, source, lang and n_chars are not read.
+
+    Nulls and empty texts have features of their own; doc_id is no feature.  Texts of any length are read as a whole; repeated rows have equal scores.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):
@@ -346,6 +390,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op8_quality_cotraining(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by each view and by both: 1 is good quality, predicted from 0.5 on; see ``fit`` and ``scored``."""
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "metadata_score", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -123,7 +123,7 @@ def _sample(labels: DataFrame, kind: T.DataType, rows: int) -> tuple[pa.Array, n
     return pa.array([r["doc_id"] for r in got], to_arrow_type(kind)), np.array([int(r["toxic"]) for r in got], np.int64)
 
 
-def _labels_of(column: pa.Array, ids: pa.Array, toxic: np.ndarray) -> np.ndarray:
+def labels_of(column: pa.Array, ids: pa.Array, toxic: np.ndarray) -> np.ndarray:
     """1, 0, or -1 for documents that are not in the sample."""
     if not len(ids):
         return np.full(len(column), -1)
@@ -141,7 +141,7 @@ def _mined(docs: DataFrame, ids: pa.Array, toxic: np.ndarray) -> tuple[np.ndarra
     def make(batches):
         ids, toxic = shared.value
         for b in batches:
-            label = _labels_of(b.column("doc_id"), ids, toxic)
+            label = labels_of(b.column("doc_id"), ids, toxic)
             chosen = np.flatnonzero(label >= 0)
             text, label = b.column("text").take(pa.array(chosen)), label[chosen]
             seen: list[list[np.ndarray]] = [[] for _ in range(FAMILIES)]
@@ -363,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         entries, voter, ids, toxic = shared.value
         finder = _Finder(entries, voter)
         for b in batches:
-            label = _labels_of(b.column("doc_id"), ids, toxic)
+            label = labels_of(b.column("doc_id"), ids, toxic)
             doc, entry, bits, _ = finder.found(b.column("text"))
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
             flat = entry.astype("<i4")

@@ -83,8 +83,8 @@ def test_toxicity_learns_from_unlabelled_documents(spark, labelled):
 
 def test_toxicity_labels_of_large_and_text_ids():
     ids, toxic = pa.array([2**53, 2**53 + 1, 7]), np.array([1, 0, 1])
-    assert toxicity._labels_of(pa.array([2**53 + 1, None, 2**53, 8, 7]), ids, toxic).tolist() == [0, -1, 1, -1, 1]
-    assert toxicity._labels_of(pa.array(["a", None, "b"]), pa.array(["b"]), np.array([1])).tolist() == [-1, -1, 1]
+    assert toxicity.labels_of(pa.array([2**53 + 1, None, 2**53, 8, 7]), ids, toxic).tolist() == [0, -1, 1, -1, 1]
+    assert toxicity.labels_of(pa.array(["a", None, "b"]), pa.array(["b"]), np.array([1])).tolist() == [-1, -1, 1]
 
 
 def test_toxicity_patterns_of_whole_texts():
@@ -147,6 +147,39 @@ def test_co_training_uses_the_other_view():
     assert right > 0.93
 
 
+def test_a_view_of_noise_teaches_nothing(monkeypatch):
+    """A view that ranks no better than chance gives the other no labels: the good view is as it is when that view is left out."""
+    draw = np.random.default_rng(5)
+    y = (draw.random(3000) < 0.5).astype(float)
+    good, noise = np.column_stack([y + draw.normal(0, 0.4, 3000), draw.normal(0, 1, 3000)]), draw.normal(0, 1, (3000, 3))
+    own, apart = np.arange(3000) < 200, np.arange(200) % 4 == 3
+    seen = []
+    real = quality.Round
+    monkeypatch.setattr(quality, "Round", lambda views, cuts: seen.append(cuts) or real(views, cuts))
+    model = quality.co_train(good[own], noise[own], y[own], good[~own], noise[~own], apart)
+    assert seen and all(c[1, label] == quality.NOTHING for c in seen for label in (0, 1)) and any(c[0, 1] != quality.NOTHING for c in seen)
+    right = ((quality._logit(model.text, good) > 0) == y).mean()
+    assert right > 0.85
+    assert quality.area(np.array([1.0, 2, 2, 3]), np.array([0, 0, 1, 1]))[0] == 0.875 and quality.area(np.ones(3), np.ones(3)) == (0.5, 0.0)
+
+
+def test_co_training_beats_views_alone():
+    """Two fair views and few labels: exchanging labels beats fitting either view on the labelled rows alone."""
+    gains = []
+    for seed in range(5):
+        draw = np.random.default_rng(seed)
+        y = (draw.random(4000) < 0.5).astype(float)
+        view = lambda: np.column_stack([y[:, None] + draw.normal(0, 0.8, (4000, 2)), draw.normal(0, 1, (4000, 20))])  # noqa: E731, B023
+        a, b = view(), view()
+        own, apart = np.arange(4000) < 60, np.arange(60) % 3 == 2
+        right = []
+        for rounds in (0, quality.ROUNDS):
+            m = quality.co_train(a[own], b[own], y[own], a[~own], b[~own], apart, rounds=rounds)
+            right.append([((quality._logit(v, x) > 0) == y).mean() for v, x in ((m.text._replace(slope=1, offset=0), a), (m.meta._replace(slope=1, offset=0), b))])
+        gains.append(np.mean(right[1]) - np.mean(right[0]))
+    assert np.mean(gains) > 0.02
+
+
 def brute_top(rows, k):
     import math
 
