@@ -291,12 +291,12 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
     nodes = written(nodes.select("same", F.col("first.at.row").alias("node"), F.col("first.copy").alias("copy"), "weight"), "nodes", n_docs)
     level = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold)).cast("int")
     first = took_part.select(F.col("row").alias("node"), "size", "bands", "sample").join(nodes.select("node", "copy", "weight"), "node").withColumn("level", level)
-    first = written(first, "first", n_docs)
+    first = written(few(first, n_docs), "first")  # rows of half a kilobyte: as many files as texts are worth
     banded = first.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("band", "hub")
     edges = banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = written(_groups(first, components(edges, 4 * n_docs).withColumnRenamed("component", "comp")), "groups", n_docs)
-    sized = written(groups.join(first.select(*_RECORD, "level"), "node"), "sized", n_docs)
+    sized = written(few(groups.join(first.select(*_RECORD, "level"), "node"), n_docs), "sized")
     dealt = _block_keys(sized)
     fields = [f for f in dealt.schema.fields if f.name != "key"]
     key_fields = "struct<c: long, b: long, l: int, m: int, x: int, y: int>"
