@@ -27,7 +27,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from tabforge.queries import evaluation, preparation, publication, rule_queries, synthesis  # noqa: F401
+    from tabforge.queries import evaluation, ingestion, preparation, publication, rule_queries, synthesis  # noqa: F401
 
 
 def hmac_sql(id_: str, domain: bytes) -> str:

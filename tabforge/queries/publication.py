@@ -29,7 +29,10 @@ def canonical_row_digest(spark, d):
     return export.row_digests(nation(spark, d), NATION, "n_nationkey", normal=False)
 
 
-@query()
+_NATION_BYTES = f"{_cell('CAST(n_nationkey AS VARCHAR)')} || {_cell(chr(39) + 's' + chr(39) + ' || n_name')} || {_cell('CAST(n_regionkey AS VARCHAR)')}"
+
+
+@query(f"SELECT sha256(unhex(string_agg({_NATION_BYTES}, '' ORDER BY n_nationkey))) AS digest FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, n_regionkey FROM nation)")
 def canonical_table_digest(spark, d):
     return spark.createDataFrame([(export.content_sha256(nation(spark, d), NATION, ["n_nationkey"]),)], "digest string")
 
@@ -90,7 +93,11 @@ def strict_csv_records(spark, d):
     return spark.createDataFrame(rows, "row_id long, fields string, reason string")
 
 
-@query()
+_EVENTS = "SELECT coalesce(event_type NOT IN ('click', 'view'), true) AS a, coalesce(NOT (value BETWEEN 0 AND 50), true) AS b FROM events"
+_COUNTS = (("type", "a"), ("value", "b"), ("__source", "true"), ("__union", "a OR b"), ("__overlap", "a AND b"), ("__block_union", "a OR b"), ("__block_overlap", "a AND b"), ("__drop_union", "false"), ("__drop_overlap", "false"), ("__retained", "true"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS rule_id, count(*) FILTER (WHERE {p}) AS violations FROM ({_EVENTS})" for n, p in _COUNTS))
 def streaming_audit(spark, d):
     """An audit of events as a stream of files, summed over its micro-batches."""
     from tabforge.streaming.audit import audited_stream, totals

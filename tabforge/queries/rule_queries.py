@@ -246,7 +246,7 @@ def sample_gate_audit(spark, d):
     return rules.audit(df, compile_rules(specs, schema)).where("rule_id in ('employee_sum', 'overall_sum', '__drop_union', '__drop_overlap', '__retained')")
 
 
-@query()
+@query("SELECT 2500 * i AS start, 2500 * (i + 1) AS stop, CAST(('0x' || substr(sha256(encode('public seed') || unhex(lpad(to_hex(i), 16, '0')) || unhex('0000000000000000')), 1, 8)) AS BIGINT) AS seed FROM (SELECT unnest(range(8)) AS i)")
 def shard_plan(spark, d):
     from tabforge.operators.synth import shards
 
