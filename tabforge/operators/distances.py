@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.cells import numeric
+from tabforge.operators.ranges import place
 from tabforge.schema import ColumnSchema
 
 TOP = 100
@@ -45,7 +46,7 @@ def ks(a: DataFrame, b: DataFrame, columns: dict[str, Column], ranges: int = 256
     """
     hist = _sides(a, b, columns, "double")
     cuts = hist.groupBy("column").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"))
-    ranged = hist.join(F.broadcast(cuts), "column").withColumn("range", F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col("value") > c).cast("int"))).drop("cuts")
+    ranged = hist.join(F.broadcast(cuts), "column").withColumn("range", place(F.col("value"), F.col("cuts"), ranges)).drop("cuts")
     parts = ranged.groupBy("column", "range").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
     order = Window.partitionBy("column").orderBy("range")
     all_ = Window.partitionBy("column")

@@ -1,12 +1,14 @@
 """Nearest training records under Gower distance: distance to the closest record and nearest-neighbour ratio.
 
-Bounds come from training rows.  Queries are a bounded evaluation sample; training rows are read in their own partitions, each of
-which keeps every query's two nearest, and these are merged: neither side is crossed row by row.
+Bounds come from training rows.  Queries go in blocks of a bounded size, one scan of the training rows each; these are read in their own
+partitions, each of which keeps every query's two nearest, and these are merged: neither side is crossed row by row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.cells import numeric
-from tabforge.schema import ColumnSchema, EngineError
+from tabforge.operators import ranges
+from tabforge.schema import ColumnSchema
 
 MOST_QUERIES, BLOCK = 5_000, 2_048
+#: Half of the normal quantile of a 95 % interval.
+Z_HALF = 0.979982
 NUMERIC_KINDS = ("integer", "fixed_decimal", "float", "date", "datetime")
 CATEGORY_KINDS = ("categorical", "boolean")
 
@@ -24,10 +29,8 @@ CATEGORY_KINDS = ("categorical", "boolean")
 def bounds(train: DataFrame, schema: Sequence[ColumnSchema]) -> dict[str, tuple[float, float]]:
     """The 1st and 99th percentile of each number."""
     numbers = [c for c in schema if c.kind in NUMERIC_KINDS]
-    if not numbers:
-        return {}
-    one = train.agg(*(F.percentile(numeric(F.col(c.name), c), F.array(F.lit(0.01), F.lit(0.99))).alias(c.name) for c in numbers)).first()
-    return {c.name: tuple(one[c.name] or (0.0, 0.0)) for c in numbers}
+    found = ranges.quantiles_of(train, {c.name: numeric(F.col(c.name), c) for c in numbers}, (0.01, 0.99))
+    return {c.name: tuple(found[c.name] or (0.0, 0.0)) for c in numbers}
 
 
 def _view(df: DataFrame, numbers, categories, key: str | None) -> DataFrame:
@@ -51,15 +54,22 @@ def _distances(x: np.ndarray, c: np.ndarray, y: np.ndarray, d: np.ndarray, scale
 def nearest_two(train: DataFrame, queries: DataFrame, schema: Sequence[ColumnSchema], key: str) -> DataFrame:
     """(id, first, second): each query's two least distances to training rows.
 
-    Queries are at most ``MOST_QUERIES`` rows (more are an error), so they are broadcast; training rows may be any number.
+    Queries (whose keys are unique) are dealt by a hash of the key into blocks of about ``MOST_QUERIES`` rows, each of which is broadcast
+    and held against all training rows; both sides may be any number.
     """
     used = [c for c in schema if c.role == "model"]
     numbers, categories = [c for c in used if c.kind in NUMERIC_KINDS], [c for c in used if c.kind in CATEGORY_KINDS]
     limits = bounds(train, schema)
+    view = _view(queries, numbers, categories, key)
+    blocks = max(1, math.ceil(queries.count() / MOST_QUERIES))
+    parts = [_nearest_of(train, view.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else view, numbers, categories, limits) for i in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest_of(train: DataFrame, view: DataFrame, numbers: Sequence[ColumnSchema], categories: Sequence[ColumnSchema], limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """(id, first, second) of one block of queries."""
     low, high = (np.array([limits[c.name][i] for c in numbers]) for i in (0, 1))
-    got = _view(queries, numbers, categories, key).limit(MOST_QUERIES + 1).toPandas()
-    if len(got) > MOST_QUERIES:
-        raise EngineError("RESOURCE_LIMIT", f"more than {MOST_QUERIES} query rows")
+    got = view.toPandas()  # one block
     arrays = lambda pdf: (np.clip(np.array(pdf["x"].tolist(), float).reshape(len(pdf), len(numbers)), low, high), np.array([[str(v) if v is not None else None for v in r] for r in pdf["c"]], object).reshape(len(pdf), len(categories)))
     shared = train.sparkSession.sparkContext.broadcast((arrays(got), got["id"].to_numpy()))
 
@@ -76,7 +86,7 @@ def nearest_two(train: DataFrame, queries: DataFrame, schema: Sequence[ColumnSch
         best.sort(axis=1)
         yield pd.DataFrame({"id": np.repeat(ids, 2), "d": best.ravel()})[lambda f: np.isfinite(f["d"])]
 
-    per_task = _view(train, numbers, categories, None).mapInPandas(search, f"id {queries.schema[key].dataType.simpleString()}, d double")
+    per_task = _view(train, numbers, categories, None).mapInPandas(search, f"id {view.schema["id"].dataType.simpleString()}, d double")
     two = per_task.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("d")), 1, 2).alias("d"))  # two a training partition
     return two.where(F.size("d") == 2).select("id", F.col("d")[0].alias("first"), F.col("d")[1].alias("second"))
 
@@ -90,3 +100,22 @@ def summary(nearest: DataFrame) -> DataFrame:
     """(n, dcr_median, dcr_p01, dcr_p99, nndr_median)"""
     p = lambda c, at: F.percentile(F.col(c), F.lit(at))
     return ratios(nearest).agg(F.count(F.lit(1)).alias("n"), p("dcr", 0.5).alias("dcr_median"), p("dcr", 0.01).alias("dcr_p01"), p("dcr", 0.99).alias("dcr_p99"), p("nndr", 0.5).alias("nndr_median"))
+
+
+def compared(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, schema: Sequence[ColumnSchema], key: str) -> DataFrame:
+    """(side, n, dcr_median, dcr_low, dcr_high, nndr_median, nndr_low, nndr_high) of synthetic rows and, as control, of holdout rows.
+
+    The intervals are what a bootstrap of the median tends to with ever more resamples: the quantiles 0.98 / sqrt(n) below and above the middle.
+    """
+    rows = None
+    for side, df in (("control", holdout), ("synthetic", synthetic)):
+        part = ratios(nearest_two(train, df, schema, key)).select(F.lit(side).alias("side"), "dcr", "nndr")
+        rows = part if rows is None else rows.union(part)
+    sizes = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}  # two rows
+    out = None
+    for side, n in sorted(sizes.items()):
+        off = min(0.5, Z_HALF / math.sqrt(n))
+        p = lambda c, at: F.percentile(F.col(c), F.lit(at))
+        one = rows.where(F.col("side") == side).agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"), *(p(c, at).alias(f"{c}_{name}") for c in ("dcr", "nndr") for name, at in (("median", 0.5), ("low", 0.5 - off), ("high", 0.5 + off))))
+        out = one if out is None else out.union(one)
+    return out if out is not None else train.sparkSession.createDataFrame([], "side string, n long, dcr_median double, dcr_low double, dcr_high double, nndr_median double, nndr_low double, nndr_high double")

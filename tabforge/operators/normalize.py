@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.cells import is_null_text, parsed
 from tabforge.operators.profile import _rows, q
+from tabforge.operators.ranges import place
 from tabforge.schema import ROW_ID, ColumnSchema, EngineError, check_columns
 
 #: Rows of the sample that ranges are cut by.
@@ -51,14 +52,6 @@ def write_normalized(df: DataFrame, path: str, row_group_bytes: int = 192 << 20)
     ordered.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
-def _place(x: Column, cuts: Sequence[Column], low: int = 0) -> Column:
-    """How many of the ascending cuts are less than x, by bisection."""
-    if not cuts:
-        return F.lit(low)
-    m = len(cuts) // 2
-    return F.when(x <= cuts[m], _place(x, cuts[:m], low)).otherwise(_place(x, cuts[m + 1 :], low + m + 1))
-
-
 def numbered(df: DataFrame, order: Sequence[str], name: str = ROW_ID, ranges: int = 256) -> DataFrame:
     """Adds 0, 1, ... in the order of the columns, without a window over all rows.
 
@@ -67,10 +60,10 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = ROW_ID, ranges: in
     """
     keys = [q(c) for c in order]
     sample = df.select(*keys).where(keys[0].isNotNull()).orderBy(F.xxhash64(*keys)).limit(SAMPLE).distinct().orderBy(*keys).collect()
-    chosen = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample
+    chosen = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample[: ranges - 1]
     tuple_ = F.struct(*keys)
     literals = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(r, order, strict=True))) for r in dict.fromkeys(chosen)]
-    ranged = df.withColumn("__range", F.when(keys[0].isNull(), -1).otherwise(_place(tuple_, literals)))
+    ranged = df.withColumn("__range", F.when(keys[0].isNull(), -1).otherwise(place(tuple_, F.array(*literals), ranges) if literals else F.lit(0)))
     counts = ranged.groupBy("__range").count().orderBy("__range").collect()  # at most `ranges` rows
     at, starts = 0, []
     for r in counts:

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.functions.cells import numeric
+from tabforge.operators import ranges
 from tabforge.operators.distances import OTHER, top_values
 from tabforge.schema import ColumnSchema, EngineError
 
@@ -48,16 +50,8 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(column value, average rank) by counts of distinct values: a window over the histogram, not over rows.
-
-    The histogram is dealt into ranges of values; ranks are the range's offset plus the rank inside.
-    """
-    hist = df.where(q(column).isNotNull()).groupBy(q(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = hist.agg(F.percentile_approx("__v", [i / 128 for i in range(1, 128)], 1280).alias("c")).first()["c"] or []
-    ranged = hist.withColumn("__r", F.aggregate(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), F.lit(0), lambda n, c: n + (F.col("__v") > c).cast("int")))
-    before = ranged.groupBy("__r").agg(F.sum("__n").alias("__s")).select("__r", (F.sum("__s").over(Window.orderBy("__r").partitionBy(F.lit(0))) - F.col("__s")).alias("__b"))
-    inside = F.sum("__n").over(Window.partitionBy("__r").orderBy("__v")) - F.col("__n")
-    return ranged.withColumn("__i", inside).join(F.broadcast(before), "__r").select(F.col("__v"), (F.col("__b") + F.col("__i") + (F.col("__n") + 1) / 2).alias(name))
+    """(column value, average rank) by counts of distinct values in ranges: a window over the histogram, not over rows."""
+    return ranges.placed(df, {column: q(column)}).select(F.col("value").alias("__v"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -92,8 +86,7 @@ def joint_tvd(a: DataFrame, b: DataFrame, left: str, right: str, top: int = TOP)
 def edges(df: DataFrame, column: str, inner: int = INNER_EDGES) -> list[float]:
     """The distinct inner quantiles, exact."""
     at = [i / (inner + 1) for i in range(1, inner + 1)]
-    found = df.agg(F.percentile(q(column).cast("double"), F.array(*map(F.lit, at))).alias("e")).first()["e"]
-    return sorted(set(found or []))
+    return sorted(set(ranges.quantiles_of(df, {column: q(column)}, at)[column] or []))
 
 
 def binned(c: Column, cuts: Sequence[float]) -> Column:
@@ -113,3 +106,57 @@ def conditional_tvd(a: DataFrame, b: DataFrame, number: str, category: str, top:
     shares = counts.withColumn("na", F.sum("a").over(w)).withColumn("nb", F.sum("b").over(w)).where("na > 0")
     per_bin = shares.groupBy("x").agg(F.max("na").alias("na"), F.when(F.max("nb") == 0, F.lit(1.0)).otherwise(F.sum(F.abs(F.col("a") / F.col("na") - F.when(F.col("nb") > 0, F.col("b") / F.col("nb")).otherwise(0.0))) / 2).alias("d"))
     return per_bin.agg((F.sum(F.col("na") * F.col("d")) / F.sum("na")).alias("distance")).select(F.lit(number).alias("number"), F.lit(category).alias("category"), "distance")
+
+
+def compared(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, schema: Sequence[ColumnSchema], top: int = TOP) -> DataFrame:
+    """(family, left, right, control, synthetic): how far each pair's relation in holdout and synthetic rows is from that in training rows.
+
+    Two numbers: the difference of their correlations.  Two categories: total variation over their cells.  A number and a category: total
+    variation of the category inside each of the number's bins, weighted by the bins' training rows.  Categories (top values) and bins
+    (inner quantiles) are those of the training rows.  All pairs share one scan a table and one shuffle of counts.
+    """
+    own = {c.name: c for c in schema}
+    families = pair_families(schema)
+    sides = {"t": train, "h": holdout, "s": synthetic}
+    found = [part for part in (_correlations(sides, [f for f in families if f[0] == FAMILIES[0]], own), _variations(sides, [f for f in families if f[0] != FAMILIES[0]], own, top)) if part is not None]
+    if not found:
+        return train.sparkSession.createDataFrame([], "family string, left string, right string, control double, synthetic double")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _correlations(sides: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str]], own: dict[str, ColumnSchema]) -> DataFrame | None:
+    if not pairs:
+        return None
+    names = sorted({n for _, a, b in pairs for n in (a, b)})
+    r = {k: pearson(df.select(*(numeric(q(n), own[n]).alias(n) for n in names)), [(a, b) for _, a, b in pairs]).withColumnRenamed("r", k) for k, df in sides.items()}
+    gap = lambda k: F.abs(F.col(k) - F.col("t"))
+    return r["t"].join(r["h"], ["left", "right"]).join(r["s"], ["left", "right"]).select(F.lit(FAMILIES[0]).alias("family"), "left", "right", gap("h").alias("control"), gap("s").alias("synthetic"))
+
+
+def _variations(sides: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str]], own: dict[str, ColumnSchema], top: int) -> DataFrame | None:
+    if not pairs:
+        return None
+    names = sorted({n for _, a, b in pairs for n in (a, b)})
+    numbers = [n for n in names if own[n].kind in ("integer", "fixed_decimal", "float", "date", "datetime")]
+    tops = tops_of(sides["t"], [n for n in names if n not in numbers], top)
+    cuts = ranges.quantiles_of(sides["t"], {n: numeric(q(n), own[n]) for n in numbers}, [i / (INNER_EDGES + 1) for i in range(1, INNER_EDGES + 1)])
+    state = {n: binned(numeric(q(n), own[n]), sorted(set(cuts[n] or []))).cast("string") if n in numbers else _token(q(n), tops[n]) for n in names}
+
+    def cell(i: int, a: str, b: str) -> Column:
+        """The bin that a category is seen in (one for two categories) and what is counted there."""
+        group, value = (q(a), q(b)) if a in numbers else (q(b), q(a)) if b in numbers else (F.lit(""), F.to_json(F.array(q(a), q(b))))
+        return F.struct(F.lit(i).alias("pair"), group.alias("group"), value.alias("value"))
+
+    cells = F.array(*(cell(i, a, b) for i, (_, a, b) in enumerate(pairs)))
+    long = None
+    for k, df in sides.items():
+        part = df.select(*(e.alias(n) for n, e in state.items())).select(F.lit(k).alias("side"), F.explode(cells).alias("c"))
+        long = part if long is None else long.union(part)
+    counts = long.groupBy("c.pair", "c.group", "c.value").agg(*(F.count_if(F.col("side") == k).alias(k) for k in sides))
+    w = Window.partitionBy("pair", "group")  # at most (top + 2) squared rows
+    shares = counts.select("*", *(F.sum(k).over(w).alias(f"n{k}") for k in sides)).where("nt > 0")
+    gap = lambda k: F.when(F.max(f"n{k}") == 0, 1.0).otherwise(F.sum(F.abs(F.col("t") / F.col("nt") - F.when(F.col(f"n{k}") > 0, F.col(k) / F.col(f"n{k}")).otherwise(0.0))) / 2)
+    groups = shares.groupBy("pair", "group").agg(F.max("nt").alias("n"), gap("h").alias("h"), gap("s").alias("s"))
+    mean = groups.groupBy("pair").agg(*((F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(name) for k, name in (("h", "control"), ("s", "synthetic"))))
+    labels = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(a).alias("left"), F.lit(b).alias("right")) for f, a, b in pairs))
+    return mean.select(labels[F.col("pair")].alias("l"), "control", "synthetic").select("l.*", "control", "synthetic")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.functions.cells import BOOLEAN_RE, DATE_RE, DATETIME_RE, FLOAT_RE, INTEGER_RE, is_null_text
+from tabforge.operators import ranges
 from tabforge.schema import ROW_ID
 
 FREQUENT = 256
@@ -74,8 +75,11 @@ def parse_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.25, 0.5, 0.75), exact: bool = False) -> DataFrame:
     """(column, quantiles...): linear-interpolated if exact, else within Spark's default accuracy in bounded memory."""
-    one = lambda c, p: F.percentile(q(c).cast("double"), F.lit(p)) if exact else F.percentile_approx(q(c).cast("double"), p)
-    return _rows(df.select(*map(q, columns)), {c: {f"q{round(p * 100):02d}": one(c, p) for p in at} for c in columns})
+    names = [f"q{round(p * 100):02d}" for p in at]
+    if exact:
+        found = ranges.quantiles(df, {c: q(c) for c in columns}, at)
+        return found.select("column", *(F.col(f"q{i}").alias(n) for i, n in enumerate(names)))
+    return _rows(df.select(*map(q, columns)), {c: {n: F.percentile_approx(q(c).cast("double"), p) for n, p in zip(names, at, strict=True)} for c in columns})
 
 
 def _unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:

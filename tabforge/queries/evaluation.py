@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.keyed import in_train
-from tabforge.operators import attacks, classify, distances, export, gower, pairs, sampling
-from tabforge.queries import KEY, hmac_text_sql, load, query, train_sql
+from tabforge.operators import attacks, classify, distances, export, gower, pairs
+from tabforge.queries import KEY, load, query, train_sql
 from tabforge.queries.rule_queries import orders
 from tabforge.schema import ColumnSchema
 
@@ -129,18 +129,39 @@ def pair_conditional_tvd(spark, d):
     return pairs.conditional_tvd(a, c, "price", "status").select("number", "category", F.round("distance", 6).alias("distance"))
 
 
+def _relation_sql(other: str, left: str, right: str, number: str | None, category: str | None) -> str:
+    """The total variation of a pair between training rows and another table."""
+    token = lambda c: f"coalesce({c}, '__MISSING__')"
+    edges, group, value = ("[]", "0", f"{token(left)} || chr(31) || {token(right)}") if number is None else ("list_sort(list_distinct(quantile_cont({n}, [{at}])))".format(n=_NUM[number], at=", ".join(str(i / 20) for i in range(1, 20))), f"len(list_filter(e, lambda q: q <= {_NUM[number]}))", token(category))
+    return f"""(WITH k AS (SELECT {edges} AS e FROM a{' LIMIT 1' if number is None else ''}), g AS (SELECT {group} AS x, {value} AS y, s FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, 0 FROM {other}), k),
+h AS (SELECT x, y, sum(s) AS na, sum(1 - s) AS nb FROM g GROUP BY x, y), w AS (SELECT *, sum(na) OVER (PARTITION BY x) AS ta, sum(nb) OVER (PARTITION BY x) AS tb FROM h),
+p AS (SELECT x, max(ta) AS ta, CASE WHEN max(tb) = 0 THEN 1.0 ELSE sum(abs(na / ta - CASE WHEN tb > 0 THEN nb / tb ELSE 0 END)) / 2 END AS dist FROM w WHERE ta > 0 GROUP BY x) SELECT sum(ta * dist) / sum(ta) FROM p)"""
+
+
+_RELATED = " UNION ALL ".join(
+    f"SELECT '{'categorical_categorical' if r == 'prio' else 'mixed'}' AS family, '{l}' AS \"left\", '{r}' AS \"right\", round({_relation_sql('b', l, r, n, k)}, 6) AS control, round({_relation_sql('c', l, r, n, k)}, 6) AS synthetic"
+    for l, r, n, k in [("status", "prio", None, None), ("status", "price", "price", "status"), ("status", "day", "day", "status"), ("prio", "price", "price", "prio"), ("prio", "day", "day", "prio")]
+)
+
+
+@query(f"WITH {_SIDES} {_RELATED} UNION ALL SELECT 'numeric_numeric', 'price', 'day', round(abs((SELECT corr(price, {_DAY}) FROM b) - (SELECT corr(price, {_DAY}) FROM a)), 6), round(abs((SELECT corr(price, {_DAY}) FROM c) - (SELECT corr(price, {_DAY}) FROM a)), 6)")
+def pairs_compared(spark, d):
+    """All pairs of modelled columns: holdout (control) and synthetic rows against training rows."""
+    a, b, c = sides(spark, d)
+    return pairs.compared(a, b, c, SCHEMA).select("family", "left", "right", F.round("control", 6).alias("control"), F.round("synthetic", 6).alias("synthetic"))
+
+
 CUSTOMER = (ColumnSchema("c_acctbal", "float"), ColumnSchema("c_nationkey", "integer"), ColumnSchema("c_mktsegment", "categorical"))
-_SAMPLE_H = hmac_text_sql("c_custkey", b"tabforge/sample/v1\0")
 _CU = "SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment FROM customer"
-_G = f"""WITH tr AS ({_CU} WHERE {train_sql('c_custkey')}), qu AS ({_CU} WHERE NOT {train_sql('c_custkey')} ORDER BY {_SAMPLE_H}, c_custkey LIMIT 5000), l AS (SELECT quantile_cont(c_acctbal, 0.01) AS a0, quantile_cont(c_acctbal, 0.99) AS a1, quantile_cont(c_nationkey, 0.01) AS n0, quantile_cont(c_nationkey, 0.99) AS n1 FROM tr),
+_G = f"""WITH tr AS ({_CU} WHERE {train_sql('c_custkey')}), qu AS ({_CU} WHERE NOT {train_sql('c_custkey')}), l AS (SELECT quantile_cont(c_acctbal, 0.01) AS a0, quantile_cont(c_acctbal, 0.99) AS a1, quantile_cont(c_nationkey, 0.01) AS n0, quantile_cont(c_nationkey, 0.99) AS n1 FROM tr),
 p AS (SELECT q.c_custkey AS id, (abs(least(greatest(q.c_acctbal, a0), a1) - least(greatest(t.c_acctbal, a0), a1)) / (a1 - a0) + abs(least(greatest(q.c_nationkey, n0), n1) - least(greatest(t.c_nationkey, n0), n1)) / (n1 - n0) + CASE WHEN q.c_mktsegment = t.c_mktsegment THEN 0 ELSE 1 END) / 3 AS dist FROM qu q, tr t, l),
 n AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS r FROM p), two AS (SELECT id, min(dist) AS f, max(dist) AS s FROM n WHERE r <= 2 GROUP BY id)"""
 
 
 def _gower(spark, d):
-    """Training customers against the holdout ones (a keyed sample of at most 5,000)."""
+    """All holdout customers against the training ones."""
     c, own = load(spark, d, "customer"), in_train(F.col("c_custkey"), KEY)
-    return gower.nearest_two(c.where(own), sampling.smallest_hmac(c.where(~own), KEY, gower.MOST_QUERIES, "c_custkey"), CUSTOMER, "c_custkey")
+    return gower.nearest_two(c.where(own), c.where(~own), CUSTOMER, "c_custkey")
 
 
 @query(f"{_G} SELECT id, round(f, 6) AS first, round(s, 6) AS second FROM two")
@@ -154,6 +175,24 @@ def gower_dcr_nndr_summary(spark, d):
     return s.select("n", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
 
 
+def _interpolated(values: str, at: str) -> str:
+    """A quantile of a sorted list."""
+    return f"({values}[CAST(floor({at} * (len({values}) - 1)) AS BIGINT) + 1] + ({at} * (len({values}) - 1) - floor({at} * (len({values}) - 1))) * ({values}[CAST(ceil({at} * (len({values}) - 1)) AS BIGINT) + 1] - {values}[CAST(floor({at} * (len({values}) - 1)) AS BIGINT) + 1]))"
+
+
+_OFF = f"least(0.5, {gower.Z_HALF} / sqrt(n))"
+
+
+@query(_G.replace("NOT " + train_sql("c_custkey"), "NOT " + train_sql("c_custkey") + " UNION ALL SELECT -1 - c_custkey, round(c_acctbal * 0.9, 2), c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'BUILDING' ELSE c_mktsegment END FROM customer WHERE " + train_sql("c_custkey") + " AND c_custkey % 5 = 0") + f""", g AS (SELECT CASE WHEN id < 0 THEN 'synthetic' ELSE 'control' END AS side, count(*) AS n, list_sort(list(f)) AS f, list_sort(list(CASE WHEN s = 0 THEN 0 ELSE f / s END)) AS s FROM two GROUP BY 1)
+SELECT side, n, {', '.join(f"round({_interpolated(v, at)}, 6) AS {name}_{part}" for v, name in (("f", "dcr"), ("s", "nndr")) for part, at in (("median", "0.5"), ("low", f"(0.5 - {_OFF})"), ("high", f"(0.5 + {_OFF})")))} FROM g""")
+def gower_control(spark, d):
+    """Changed training customers as synthetic rows, and holdout customers as control, against training customers, with intervals."""
+    c, own = load(spark, d, "customer"), in_train(F.col("c_custkey"), KEY)
+    made = c.where(own & (F.col("c_custkey") % 5 == 0)).select((-1 - F.col("c_custkey")).alias("c_custkey"), F.round(F.col("c_acctbal") * 0.9, 2).alias("c_acctbal"), "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, "BUILDING").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    got = gower.compared(c.where(own), c.where(~own), made, CUSTOMER, "c_custkey")
+    return got.select("side", "n", *(F.round(x, 6).alias(x) for x in got.columns[2:]))
+
+
 @query("SELECT n_pos, n_neg, round(u / (n_pos * n_neg), 6) AS auc FROM (SELECT count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg, sum(r) FILTER (WHERE quality = 1) - count(*) FILTER (WHERE quality = 1) * (count(*) FILTER (WHERE quality = 1) + 1) / 2 AS u FROM (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r FROM documents JOIN labels USING (doc_id)))")
 def auc_rank_sum(spark, d):
     both = load(spark, d, "documents").select("doc_id", "n_chars").join(load(spark, d, "labels"), "doc_id")
@@ -201,6 +240,12 @@ def attack_singling_out(spark, d):
     return attacks.singling_out(synthetic, target, ["c_acctbal", "c_nationkey"], attacks=None).select("n", "hits")
 
 
+@query()
+def attack_singling_out_together(spark, d):
+    synthetic, target = _attacked(spark, d)
+    return attacks.singling_out_together(synthetic, target, CUSTOMER)
+
+
 @query()
 def attack_linkability(spark, d):
     synthetic, target = _attacked(spark, d)

@@ -190,7 +190,7 @@ def test_tail_of_categories(spark):
     assert distances.omitted_mass(a, columns).first().omitted == pytest.approx(2 / 102)
 
 
-def test_gower(spark):
+def test_gower(spark, monkeypatch):
     schema = [C("n", "float"), C("c", "categorical")]
     train = spark.createDataFrame([(1, 0.0, "a"), (2, 10.0, "b")], "k long, n double, c string")
     query = spark.createDataFrame([(1, 0.0, "a"), (2, 5.0, "a")], "k long, n double, c string")
@@ -200,8 +200,12 @@ def test_gower(spark):
     got = sorted(tuple(r) for r in near.collect())
     assert got == [(1, 0.0, 1.0), (2, pytest.approx(0.25), pytest.approx(0.75))]
     assert [r.nndr for r in gower.ratios(near).orderBy("id").collect()] == [0.0, pytest.approx(1 / 3)]
-    with pytest.raises(EngineError):
-        gower.nearest_two(train, spark.range(gower.MOST_QUERIES + 1).select(F.col("id").alias("k"), F.lit(1.0).alias("n"), F.lit("a").alias("c")), schema, "k")
+    many = spark.range(9).select(F.col("id").alias("k"), F.col("id").cast("double").alias("n"), F.lit("a").alias("c"))
+    whole = sorted(map(tuple, gower.nearest_two(train, many, schema, "k").collect()))
+    monkeypatch.setattr(gower, "MOST_QUERIES", 3)
+    assert sorted(map(tuple, gower.nearest_two(train, many, schema, "k").collect())) == whole and len(whole) == 9
+    sides = {r["side"]: r for r in gower.compared(train, many, train.withColumn("k", F.col("n").cast("long")), schema, "k").collect()}
+    assert sides["control"]["n"] == 9 and sides["synthetic"]["dcr_median"] == 0.0 and sides["control"]["dcr_low"] <= sides["control"]["dcr_median"] <= sides["control"]["dcr_high"]
 
 
 def test_pairs(spark):
@@ -342,6 +346,8 @@ def test_two_sample_test_and_attacks(spark):
     assert {r.reason for r in classify.downstream(train, same, far, schema, "zz", "classification").collect()} == {"unknown_target"}
     assert attacks.inference(train, train, schema, "c", ["x"], "k", 50).first().rate > 0.8
     assert attacks.linkability(train, train, schema, ["x"], ["x", "c"], "k", 50).first().rate > 0.8
+    both = attacks.singling_out_together(train, train, schema, 20, 2, seeds=(0, 1)).first()
+    assert both.hits == both.n  # what singles out a synthetic row singles out the same row of an equal target
     assert attacks.wilson(0, 0) == (0.0, 0.0, 1.0) and attacks.wilson(5, 10)[1] < 0.5 < attacks.wilson(5, 10)[2]
     auc = classify.auc_rank_sum(spark.createDataFrame([(1.0, 0), (2.0, 0), (2.0, 1), (3.0, 1)], "s double, y int"), "s", "y").first()
     assert auc.auc == 0.875
@@ -372,3 +378,16 @@ def test_two_sample_test_has_seeds_control_and_interval(spark):
     score, label = [x for v in (0, 1) for x in np.repeat(range(4), counts[1 - v])], [v for v in (0, 1) for _ in range(int(counts[1 - v].sum()))]
     pairs_ = [(a > b) + (a == b) / 2 for a, x in zip(score, label, strict=True) for b, y in zip(score, label, strict=True) if x == 1 and y == 0]
     assert abs(classify._auc(*counts) - np.mean(pairs_)) < 1e-12
+
+
+def test_ranges_match_numpy(spark):
+    from tabforge.operators import ranges
+
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000).round(2), rng.integers(0, 3, 400).astype(float), np.array([7.0]), np.array([])):
+        df = spark.createDataFrame([(float(v), None) for v in values] + [(None, None)], "x double, y double").repartition(3)
+        got = ranges.quantiles_of(df, {"x": F.col("x"), "y": F.col("y")}, (0.0, 0.013, 0.5, 0.99, 1.0))
+        assert got["y"] is None
+        assert got["x"] == (pytest.approx(np.quantile(values, [0.0, 0.013, 0.5, 0.99, 1.0])) if len(values) else None)
+    cuts = spark.range(600).select("id", ranges.place(F.col("id"), F.array(*(F.lit(2 * i) for i in range(255)))).alias("p"), ranges.place(F.col("id"), F.array(F.lit(3), F.lit(5))).alias("t")).collect()
+    assert all(r.p == sum(r.id > 2 * i for i in range(255)) and r.t == (r.id > 3) + (r.id > 5) for r in cuts)
