@@ -18,7 +18,8 @@ from tabforge.operators.normalize import numbered
 from tabforge.schema import CANDIDATE_INDEX, ColumnSchema
 
 BINS = 32
-MOST_STATES = 4096
+#: Parts of [0, 1) that a distribution is dealt into.
+SLOTS = 64
 
 
 class Model(Protocol):
@@ -66,8 +67,9 @@ def uniform(index: Column, salt: str, seed: int) -> Column:
 class Conditional:
     """Each column given the column before it.
 
-    ``tables[i]`` has (given, state, low, high): cumulative shares of a column's states for each state of the column before;
-    states are quantile bins of numbers and the most frequent values of others, at most ``MOST_STATES``.
+    ``tables[i]`` has (given, slot, state, low, high): cumulative shares of a column's states for each state of the column before, once for
+    each slot of [0, 1) that they touch, so that candidates of one frequent state meet its distribution in many tasks.  States are
+    quantile bins of numbers and all values of others.
     """
 
     schema: tuple[ColumnSchema, ...]
@@ -89,10 +91,12 @@ class Conditional:
             given = F.lit("") if before is None else state[before.name]
             counts = df.select(given.alias("given"), state[c.name].alias("state")).groupBy("given", "state").agg(F.count(F.lit(1)).alias("n"))
             rank = F.row_number().over(Window.partitionBy("given").orderBy(F.desc("n"), "state"))
-            top = counts.withColumn("__r", rank).where(F.col("__r") <= MOST_STATES)
+            top = counts.withColumn("__r", rank)
             w = Window.partitionBy("given").orderBy("__r")
             total = F.sum("n").over(Window.partitionBy("given"))
-            tables.append(top.select("given", "state", ((F.sum("n").over(w) - F.col("n")) / total).alias("low"), (F.sum("n").over(w) / total).alias("high")).persist())
+            shares = top.select("given", "state", ((F.sum("n").over(w) - F.col("n")) / total).alias("low"), (F.sum("n").over(w) / total).alias("high"))
+            slots = F.sequence(F.floor(F.col("low") * SLOTS), F.least(F.ceil(F.col("high") * SLOTS), F.lit(SLOTS)) - 1)
+            tables.append(shares.withColumn("slot", F.explode(slots)).persist())
             before = c
         return cls(tuple(schema), tuple(tables), cuts, seed)
 
@@ -112,8 +116,8 @@ class Conditional:
         for c, table in zip(self.schema, self.tables, strict=True):
             u = uniform(index, c.name, self.seed)
             given = F.lit("") if before is None else F.col(f"__s_{before.name}")
-            t = table.select(F.col("given").alias("__g"), F.col("state").alias(f"__s_{c.name}"), F.col("low").alias("__low"), F.col("high").alias("__high"))
-            out = out.withColumn("__u", u).join(t, (given == F.col("__g")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))).drop("__g", "__low", "__high", "__u")
+            t = table.select(F.col("given").alias("__g"), F.col("slot").alias("__slot"), F.col("state").alias(f"__s_{c.name}"), F.col("low").alias("__low"), F.col("high").alias("__high"))
+            out = out.withColumn("__u", u).join(t, (given == F.col("__g")) & (F.floor(F.col("__u") * SLOTS) == F.col("__slot")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))).drop("__g", "__slot", "__low", "__high", "__u")
             before = c
         return out.select(index, *(self._value(c, index).alias(c.name) for c in self.schema))
 
