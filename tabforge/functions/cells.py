@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -128,28 +129,43 @@ def nfc(c: Column) -> Column:
 
 
 def _little_endian(x: Column) -> Column:
-    h = F.lpad(F.hex(x), 16, "0")
-    return F.unhex(F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8))))
+    """The 8 bytes of a long, least significant first, by shifts: whole-stage code without string work."""
+    turned = reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long")), 56 - 8 * i) for i in range(8)))
+    return F.unhex(F.lpad(F.hex(turned), 16, "0"))
+
+
+def _bytes(text: str) -> Column:
+    return F.unhex(F.lit(text))
+
+
+def _framed(c: Column, body: Column, size: int | Column) -> Column:
+    """Length, null tag and body of a cell whose body has ``size`` bytes; the length counts the tag."""
+    if isinstance(size, int):
+        head = _bytes(f"{size + 1:02x}00000000000000" + "01")
+    else:
+        long = (size + 1).cast("long")
+        short = F.unhex(F.concat(F.lpad(F.hex(long), 2, "0"), F.lit("0000000000000001")))
+        head = F.when(long < 256, short).otherwise(F.concat(_little_endian(long), _bytes("01")))
+    return F.when(c.isNull(), _bytes("0100000000000000" + "00")).otherwise(F.concat(head, body))
 
 
 def cell_bytes(c: Column, column: ColumnSchema, normal: bool = True) -> Column:
     """Canonical bytes of a cell: little-endian length, a null tag, and the value.  ``normal`` puts text into NFC."""
-    if column.kind == "integer":
-        body = c.cast("string").cast("binary")
-    elif column.kind == "fixed_decimal":
-        body = (c * F.lit(10**column.decimal_places).cast("decimal(19,0)")).cast("decimal(38,0)").cast("string").cast("binary")
-    elif column.kind == "float":
-        body = _little_endian(F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), c).cast("long"))
-    elif column.kind == "boolean":
-        body = F.when(c, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
-    elif column.kind in ("date", "datetime"):
-        body = _little_endian((F.unix_date(c) if column.kind == "date" else F.unix_micros(c)).cast("long"))
-    elif column.kind in TEXT_KINDS and column.kind != "excluded":
-        body = F.concat(F.unhex(F.lit("73")), (nfc(c) if normal else c).cast("binary"))
-    else:
-        raise ValueError(f"{column.kind} has no canonical bytes")
-    tagged = F.when(c.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), body))
-    return F.concat(_little_endian(F.octet_length(tagged).cast("long")), tagged)
+    if column.kind in ("integer", "fixed_decimal"):
+        whole = c if column.kind == "integer" else (c * F.lit(10**column.decimal_places).cast("decimal(19,0)")).cast("decimal(38,0)")
+        digits = whole.cast("string")
+        return _framed(c, digits.cast("binary"), F.octet_length(digits))
+    if column.kind == "float":
+        bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), c).cast("long")
+        return _framed(c, F.get(F.transform(F.array(bits), _little_endian), F.lit(0)), 8)  # reflection once a cell
+    if column.kind == "boolean":
+        return _framed(c, F.when(c, _bytes("01")).otherwise(_bytes("00")), 1)
+    if column.kind in ("date", "datetime"):
+        return _framed(c, _little_endian((F.unix_date(c) if column.kind == "date" else F.unix_micros(c)).cast("long")), 8)
+    if column.kind in TEXT_KINDS and column.kind != "excluded":
+        text = nfc(c) if normal else c
+        return _framed(c, F.concat(_bytes("73"), text.cast("binary")), F.octet_length(text) + 1)
+    raise ValueError(f"{column.kind} has no canonical bytes")
 
 
 def row_bytes(schema: Sequence[ColumnSchema], normal: bool = True) -> Column:
