@@ -114,7 +114,7 @@ def parquet_shards_projected(spark, d):
     return scan_parquet(spark, paths, ["o_orderkey", "o_totalprice"])
 
 
-@query("SELECT o_orderkey % 3 AS shard, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY 1")
+@query("SELECT o_orderkey % 3 AS shard, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def shards_in_order(spark, d):
     """Shards one after another, with the shard's number."""
     df = orders(spark, d).select("o_orderkey")
