@@ -37,6 +37,12 @@ def placed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return running.join(F.broadcast(offsets), ["column", "range"]).select("column", "value", "n", (F.col("inside") + F.col("offset")).alias("before"), "total")
 
 
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    """A value between two neighbours, low * (1 - share) + high * share with the first product fused into the sum, as DuckDB has it: the last
+    bit counts where an edge meets rows.  Through a Java method: for a few rows only."""
+    return F.when(low.isNotNull() & high.isNotNull(), F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share).cast("double"))
+
+
 def quantiles(df: DataFrame, columns: dict[str, Column], at: Sequence[float]) -> DataFrame:
     """(column, q0, q1, ...): linear-interpolated quantiles of each column, exact; null where it has no values."""
     found = placed(df, columns)
@@ -47,7 +53,7 @@ def quantiles(df: DataFrame, columns: dict[str, Column], at: Sequence[float]) ->
             picked.append(F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col("value"))).alias(f"{name}{i}"))
     one = found.groupBy("column").agg(F.max("total").alias("total"), *picked)
     share = lambda p: F.lit(float(p)) * (F.col("total") - 1) - F.floor(F.lit(float(p)) * (F.col("total") - 1))
-    values = one.select("column", *((F.col(f"low{i}") * (1 - share(p)) + F.col(f"high{i}") * share(p)).alias(f"q{i}") for i, p in enumerate(at)))
+    values = one.select("column", *(interpolated(F.col(f"low{i}"), F.col(f"high{i}"), share(p)).alias(f"q{i}") for i, p in enumerate(at)))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(F.broadcast(values), "column", "left")  # one row a column
 
