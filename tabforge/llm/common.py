@@ -85,9 +85,14 @@ def bitmap(df: DataFrame, key: Column, bits: int = BITMAP_BITS) -> np.ndarray:
     it can tell apart only let more rows through; an exact join follows each use."""
     slot = F.pmod(key, F.lit(bits))
     words = df.where(key.isNotNull()).groupBy((slot / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("set"))
+
+    def pack(batches):  # a task's words as two byte strings a batch: rows of their own would take the driver a hundred bytes and more each
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in b.columns], ["at", "set"])
+
     out = np.zeros(bits // 64, np.uint64)
-    got = words.toPandas()
-    out[got["at"].to_numpy(np.int64)] = got["set"].to_numpy(np.int64).view(np.uint64)
+    for r in words.mapInArrow(pack, "at binary, set binary").collect():
+        out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["set"], np.uint64)
     return out.view(np.uint8)
 
 

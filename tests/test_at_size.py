@@ -1,9 +1,12 @@
 """What larger tables and other rows showed: results against SQL, plain versions and Spark's own."""
 
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabforge.operators import pairs
 
@@ -15,3 +18,16 @@ def test_edges_equal_sql_to_the_last_bit(spark, n, copies):
     at = ", ".join(str(i / 20) for i in range(1, 20))
     want = duckdb.connect().execute(f"SELECT list_sort(list_distinct(quantile_cont(v, [{at}]))) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchone()[0]
     assert pairs.edges(spark.createDataFrame([(v,) for v in values], "v double"), "v") == want
+
+
+def test_bitmap_reaches_the_driver_packed(spark):
+    from tabforge.llm import common
+
+    keys = spark.range(100_000).select(F.xxhash64("id").alias("k"))
+    tracemalloc.start()
+    packed = common.bitmap(keys, F.col("k"), 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.array([r.k for r in keys.collect()], np.int64)
+    assert common.among_packed(packed, want).all() and np.unpackbits(packed).sum() == len(np.unique(want % (1 << 20)))
+    assert peak < 16 * len(packed)  # rows of words took about sixty times its size
