@@ -53,3 +53,19 @@ def test_gower_regions_equal_all_pairs(spark, monkeypatch):
     got = np.array([r[1:] for r in sorted(map(tuple, gower.nearest_two(*frames, schema, "k").collect()))])
     assert np.allclose(got, want)
     assert len({*gower._regions(gower._tree([([np.arange(90.0)], 1.0)], {0: 89.0}, 20), [np.arange(90.0)])}) == 8
+
+
+def test_boosting_cells_equals_boosting_rows(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tabforge.operators import classify
+
+    draw = random.Random(2)
+    rows = [(float(a), float(b), 3.0 * a + (b % 3) * 5 + draw.gauss(0, 1)) for a, b in ((draw.randint(0, 9), draw.randint(0, 5)) for _ in range(2000))]
+    monkeypatch.setattr(classify, "TREES", classify.TREES | {"maxIter": 6})
+    df = spark.createDataFrame(rows, "a double, b double, __label double").coalesce(2).persist()
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="__x").transform(df)
+    spark_ml = GBTRegressor(featuresCol="__x", labelCol="__label", seed=0, **classify.TREES).fit(x).transform(x)
+    want = spark_ml.agg(F.sqrt(F.avg((F.col("prediction") - F.col("__label")) ** 2))).first()[0]
+    assert classify._boosted_rmse(df, df, ["a", "b"]) == pytest.approx(want, rel=1e-4)
